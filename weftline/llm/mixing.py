@@ -8,8 +8,7 @@ source's size is shared again (a water level found with prefix sums over the sou
 
 Rates become whole copies: each document gets floor(rate) copies, and one more up to a cut in the order of md5(id),
 taken inside classes of sizes [2^k, 2^(k+1)); the prefix sums run over 256 hash buckets of each class, so a hot source
-is many small windows. Last, at most one document a class (the one that crosses its cut) fills what is missing,
-largest first. Rows meet their cut by a join with a table of a row for each source and class; texts are not shuffled.
+is many small windows. Last, of each class the first documents past its cut fill what is missing, largest first. Rows meet their cut by a join with a table of a row for each source and class; texts are not shuffled.
 
 Defined results: a null text has size 0; documents without words have taken 0 and one copy; null sources are one
 source, the last; equal rows get equal copies; no rows give no rows.
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 
 NEWTON_STEPS = 80
+#: Documents past the cut of each size class that may fill what rounding left.
+FILL = 4
 OUT = ("size", "source_size", "target", "rate", "copies", "taken")
 #: Rows of the table of cuts (sources times size classes) up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_CUTS = 200_000
@@ -67,32 +68,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     totals = totals.select("__s", "__c", "b", (F.sum("n").over(key) - F.col("n")).alias("n0"), F.sum("n").over(Window.partitionBy("__s", "__c")).alias("class_size"))
     totals = totals.join(goals, totals["__s"].eqNullSafe(source)).withColumn("extra", F.floor((F.col("rate") - F.floor("rate")) * F.col("class_size") + F.lit(1e-6)))
     totals = scratch.save(totals.select(F.col("__s").alias("s"), F.col("__c").alias("c"), "b", "n0", "extra"))
-    # a cut lies in one bucket of a class: only that bucket's rows are ordered
     here = slim.where("size > 0").withColumn("b", bucket)
     here = here.join(totals, here["__s"].eqNullSafe(F.col("s")) & (here["__c"] == F.col("c")) & (here["b"] == totals["b"])).drop(totals["b"])
     inside = Window.partitionBy("__s", "__c", "b").orderBy("__h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     run = here.withColumn("upto", F.col("n0") + F.sum("size").over(inside)).withColumn("own", F.sum("size").over(Window.partitionBy("__s", "__c", "b", "__h")))
-    cuts = run.groupBy("__s", "__c").agg(
-        F.max(F.when(F.col("upto") <= F.col("extra"), F.col("__h"))).alias("cut"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("extra"), F.col("upto"))), F.lit(0)).alias("got"),
-        F.min(F.when(F.col("upto") > F.col("extra"), F.struct("__h", "own"))).alias("next"),
-    )
+    past = F.col("upto") > F.col("extra")
+    cuts = run.groupBy("__s", "__c").agg(F.max(F.when(~past, F.col("__h"))).alias("cut"), F.coalesce(F.max(F.when(~past, F.col("upto"))), F.lit(0)).alias("got"))
+    # the first documents past each cut: FILL of each bucket, of those FILL of each class
+    order = Window.orderBy("__h")
+    after = run.where(past).select("__s", "__c", "b", "__h", "own", F.row_number().over(order.partitionBy("__s", "__c", "b")).alias("k")).where(F.col("k") <= FILL)
+    after = after.select("__s", "__c", "__h", "own").distinct().withColumn("k", F.row_number().over(order.partitionBy("__s", "__c"))).where(F.col("k") <= FILL)
+    after = after.groupBy("__s", "__c").agg(F.collect_list(F.struct("own", F.col("__h").alias("h"))).alias("next"))
+    cuts = cuts.join(after.withColumnsRenamed({"__s": "s", "__c": "c"}), cuts["__s"].eqNullSafe(F.col("s")) & (cuts["__c"] == F.col("c")), "left").drop("s", "c")
     cuts = scratch.save(cuts)
-    # at most one candidate a class and some forty classes: the array is bounded
-    filled = cuts.groupBy("__s").agg(F.sum("got").alias("got"), F.reverse(F.array_sort(F.collect_list(F.when(F.col("next").isNotNull(), F.struct(F.col("next.own").alias("own"), F.col("next.__h").alias("h")))))).alias("cand"))
+    # FILL candidates a class and some forty classes: the array is bounded
+    filled = cuts.groupBy("__s").agg(F.sum("got").alias("got"), F.reverse(F.array_sort(F.flatten(F.collect_list("next")))).alias("cand"))
     filled = filled.join(goals, filled["__s"].eqNullSafe(source)).withColumn("left", F.floor((F.col("rate") - F.floor("rate")) * F.col("source_size") + F.lit(1e-6)) - F.col("got"))
     filled = filled.withColumn("picked", F.aggregate(
         "cand", F.struct(F.col("left").alias("left"), F.array().cast("array<string>").alias("h")),
         lambda a, x: F.when(x["own"] <= a["left"], F.struct((a["left"] - x["own"]).alias("left"), F.concat(a["h"], F.array(x["h"])).alias("h"))).otherwise(a),
     )["h"])
     plan = cuts.join(filled.select(F.col("__s").alias("s"), "picked"), cuts["__s"].eqNullSafe(F.col("s")), "left")
-    plan = scratch.save(plan.select(F.col("__s").alias("ps"), F.col("__c").alias("pc"), "cut", F.array_contains("picked", F.col("next.__h")).alias("fill"), F.col("next.__h").alias("next")))
+    plan = scratch.save(plan.select(F.col("__s").alias("ps"), F.col("__c").alias("pc"), "cut", F.array_intersect("picked", F.col("next.h")).alias("fill")))
     small = plan.count() <= BROADCAST_CUTS
     near = F.broadcast if small else (lambda x: x)
 
     out = rows.join(near(goals), rows["__s"].eqNullSafe(source)) if "source" not in rows.columns else rows.join(near(goals.withColumnRenamed("source", "__gs")), rows["__s"].eqNullSafe(F.col("__gs")))
     out = out.join(near(plan), out["__s"].eqNullSafe(F.col("ps")) & (out["__c"] == F.col("pc")), "left")
-    more = (F.coalesce(F.col("__h") <= F.col("cut"), F.lit(False)) | (F.coalesce(F.col("fill"), F.lit(False)) & (F.col("__h") == F.col("next")))).cast("int")
+    more = (F.coalesce(F.col("__h") <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("fill", F.col("__h")), F.lit(False))).cast("int")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.floor("rate").cast("int") + more).otherwise(F.lit(1)))
     return out.select(*keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -113,13 +116,14 @@ g AS (SELECT source, ss, least(3.0 * ss, lev * w)::DOUBLE AS target, CASE WHEN s
 r AS (SELECT b.*, g.ss, g.target, g.rate, floor(log2(size + 0.25))::INT AS c FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
 o AS (SELECT *, sum(size) OVER (PARTITION BY source, c ORDER BY h) AS upto, sum(size) OVER (PARTITION BY source, c, h) AS own,
   floor((rate - floor(rate)) * sum(size) OVER (PARTITION BY source, c) + 1e-6) AS extra FROM r WHERE size > 0),
-k AS (SELECT source, c, max(h) FILTER (upto <= extra) AS cut, coalesce(max(upto) FILTER (upto <= extra), 0)::BIGINT AS got,
-  min(h) FILTER (upto > extra) AS nh, arg_min(own, h) FILTER (upto > extra)::BIGINT AS nown FROM o GROUP BY source, c),
+k AS (SELECT source, c, max(h) FILTER (upto <= extra) AS cut, coalesce(max(upto) FILTER (upto <= extra), 0)::BIGINT AS got FROM o GROUP BY source, c),
+n AS (SELECT source, own::BIGINT AS own, h FROM (SELECT DISTINCT source, c, h, own FROM o WHERE upto > extra) QUALIFY row_number() OVER (PARTITION BY source, c ORDER BY h) <= 4),
+nl AS (SELECT source, list({'own': own, 'h': h} ORDER BY own DESC, h DESC) AS cand FROM n GROUP BY source),
 f AS (SELECT k.source, (floor((any_value(g.rate) - floor(any_value(g.rate))) * any_value(g.ss) + 1e-6) - sum(got))::BIGINT AS lft,
-  list({'own': nown, 'h': nh} ORDER BY nown DESC, nh DESC) FILTER (nh IS NOT NULL) AS cand FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source GROUP BY k.source),
+  any_value(nl.cand) AS cand FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source LEFT JOIN nl ON nl.source IS NOT DISTINCT FROM k.source GROUP BY k.source),
 p AS (SELECT source, list_reduce(list_prepend({'own': lft, 'hs': []::VARCHAR[]}, list_transform(coalesce(cand, []), lambda x: {'own': x.own, 'hs': [x.h]})),
   lambda a, x: CASE WHEN x.own <= a.own THEN {'own': a.own - x.own, 'hs': list_concat(a.hs, x.hs)} ELSE a END).hs AS hs FROM f)
 SELECT r.doc_id, r.size, r.ss AS source_size, round(r.target, 6) AS target,
-  CASE WHEN r.size = 0 THEN 0 ELSE (floor(r.rate)::BIGINT + CASE WHEN coalesce(r.h <= k.cut, false) OR (r.h = k.nh AND list_contains(p.hs, r.h)) THEN 1 ELSE 0 END) * r.size END::BIGINT AS taken
+  CASE WHEN r.size = 0 THEN 0 ELSE (floor(r.rate)::BIGINT + CASE WHEN coalesce(r.h <= k.cut, false) OR coalesce(list_contains(p.hs, r.h), false) THEN 1 ELSE 0 END) * r.size END::BIGINT AS taken
 FROM r LEFT JOIN k ON r.source IS NOT DISTINCT FROM k.source AND r.c = k.c LEFT JOIN p ON p.source IS NOT DISTINCT FROM r.source
 """
