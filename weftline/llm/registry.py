@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding
+from . import decontam, mixing, sharding, tokens
 
 
 def queries():
     return {
+        "op2_token_counts": tokens.op2_token_counts,
         "op3_sharding": sharding.op3_sharding,
         "op4_decontamination": decontam.op4_decontamination,
         "op8_mixing": mixing.op8_mixing,
