@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, tokens
+from . import decontam, mixing, quality, sharding, tokens, toxicity
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op2_token_counts": tokens.op2_token_counts,
         "op3_sharding": sharding.op3_sharding,
         "op4_decontamination": decontam.op4_decontamination,
+        "op5_quality": quality.op5_quality,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op8_mixing": mixing.op8_mixing,
     }
 
