@@ -55,7 +55,7 @@ def cells(x: np.ndarray, k: int, first: int, tables: int) -> np.ndarray:
         rng = np.random.default_rng([SEED, dim, t])
         a, b = rng.standard_normal((dim, k)), rng.uniform(0, WIDTH, k)
         q = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64)
-        h = np.full(len(x), (dim << 32) + t + 1, np.uint64)
+        h = mix(np.full(len(x), (dim << 32) + t + 1, np.uint64))
         for j in range(k):
             h = mix(h + q[:, j])
         out[:, t - first] = h

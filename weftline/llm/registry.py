@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, sharding, tokens, toxicity
+from . import decontam, embeddings, minhash, mixing, quality, sharding, tokens, toxicity
 
 
 def queries():
     return {
+        "op1_near_duplicates": minhash.op1_near_duplicates,
         "op2_token_counts": tokens.op2_token_counts,
         "op3_sharding": sharding.op3_sharding,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_quality": quality.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_near_vectors": embeddings.op7_near_vectors,
         "op8_mixing": mixing.op8_mixing,
     }
 
