@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, minhash, mixing, quality, sharding, tokens, toxicity
+from . import decontam, embeddings, lm, minhash, mixing, quality, sharding, suffix, tokens, toxicity
 
 
 def queries():
@@ -15,6 +15,8 @@ def queries():
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_vectors": embeddings.op7_near_vectors,
         "op8_mixing": mixing.op8_mixing,
+        "op9_language_model": lm.op9_language_model,
+        "op10_repeats": suffix.op10_repeats,
     }
 
 
