@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark windows, scanned by every training window.
 
-Each document's words are read once into an array; the 64-bit hashes of its windows are exploded and meet the
-benchmark's windows in a hash join, and a hit counts only when the words themselves are equal. What is shuffled is the
-hits and, for the report, a row of figures for each document: no text. The benchmark is broadcast when its counted
-windows stay under ``BROADCAST_WINDOWS``; beyond that the same join is left to the planner.
+Each document's words are read once into an array and exploded. A window of the benchmark can only lie where its longest
+word stands, so words meet the benchmark's longest words in a hash join; the window around each such place is hashed and
+meets the set of window hashes, and a hit counts only when the words themselves are equal. What is shuffled is the hits
+and, for the report, a row of figures for each document: no text. The benchmark is broadcast when its counted windows
+stay under ``BROADCAST_WINDOWS``; beyond that the same joins are left to the planner.
 
 Defined results: a null text has no words and no hits; a null benchmark text is no item; equal rows get equal
 figures; an empty benchmark contaminates nothing; input columns that have the name of an output column are replaced.
@@ -37,20 +38,18 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, size: int)
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, bench_text: str, size: int, scratch: Scratch) -> DataFrame:
     """(__id, __t, pos, b_len, item): the verified windows of each different (id, text)."""
-    grams = scratch.save(benchmark_windows(bench, item_col, bench_text, size))
-    lengths = [r[0] for r in grams.groupBy("b_len").count().select("b_len").collect()]  # at most ``size`` numbers
-    side = F.broadcast(grams) if grams.count() <= BROADCAST_WINDOWS else grams
+    grams = benchmark_windows(bench, item_col, bench_text, size)
+    # a window is looked for where its longest word stands
+    longest = F.array_max(F.transform("b_words", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), (-i).alias("i"))))
+    grams = scratch.save(grams.withColumn("a_word", longest["w"]).withColumn("a_off", -longest["i"]))
+    near = F.broadcast if grams.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    places = grams.select("a_word", "a_off", F.col("b_len").alias("a_len")).distinct()
     base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t"), words(F.col(text_col)).alias("__w"))
-    found = None
-    for n in lengths:
-        hashes = F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), lambda i: F.xxhash64(F.slice("__w", i, n)))  # noqa: B023
-        each = base.where(F.size("__w") >= n).select("__id", "__t", "__w", F.posexplode(hashes).alias("pos", "__x"))
-        each = each.join(side.where(F.col("b_len") == n), F.col("__x") == F.col("b_hash"))
-        each = each.where(F.slice("__w", F.col("pos") + 1, n) == F.col("b_words")).select("__id", "__t", "pos", "b_len", "item")
-        found = each if found is None else found.unionByName(each)
-    if found is None:
-        found = base.select("__id", "__t", F.lit(0).alias("pos"), F.lit(0).alias("b_len"), F.lit("").alias("item")).where("false")
-    return scratch.save(found)
+    each = base.select("__id", "__t", "__w", F.posexplode("__w").alias("p", "x")).join(near(places), F.col("x") == F.col("a_word"))
+    each = each.withColumn("pos", F.col("p") - F.col("a_off")).where((F.col("pos") >= 0) & (F.col("pos") + F.col("a_len") <= F.size("__w")))
+    window = F.slice("__w", F.col("pos") + 1, F.col("a_len"))
+    each = each.withColumn("h", F.xxhash64(window)).join(near(grams.drop("a_word", "a_off")), (F.col("h") == F.col("b_hash")) & (F.col("a_len") == F.col("b_len")))
+    return scratch.save(each.where(window == F.col("b_words")).select("__id", "__t", "pos", "b_len", "item"))
 
 
 def spans(found: DataFrame) -> DataFrame:
