@@ -6,6 +6,7 @@ import os
 import sys
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,18 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+
+
+def local_components(n: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over ``pairs``, within a task."""
+    root = np.arange(n)
+    a, b = pairs
+    while len(a):
+        lo = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], lo)
+        np.minimum.at(root, root[b], lo)
+        while (root[root] != root).any():
+            root = root[root]
+        keep = root[a] != root[b]
+        a, b = a[keep], b[keep]
+    return root

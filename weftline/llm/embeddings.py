@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read, ship
+from .common import Scratch, components, local_components, read, ship
 from .hashing import mix
 
 THRESHOLD = 0.9
@@ -109,20 +109,6 @@ def _deal(dtype, k, tables, whole):
     return run
 
 
-def _local_components(n: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    root = np.arange(n)
-    a, b = pairs
-    while len(a):
-        lo = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], lo)
-        np.minimum.at(root, root[b], lo)
-        while (root[root] != root).any():
-            root = root[root]
-        keep = root[a] != root[b]
-        a, b = a[keep], b[keep]
-    return root
-
-
 def _link(dtype, k, threshold):
     """Groups (key, i, j) of sorted rows to (a, n, b): n more linked rows of a, or b linked with a."""
 
@@ -156,7 +142,7 @@ def _link(dtype, k, threshold):
         order = np.argsort(ids)
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        root = _local_components(len(ids), (rank[a], rank[b]))
+        root = local_components(len(ids), (rank[a], rank[b]))
         return ids[order], n[order], ids[order][root]
 
     def run(batches):

@@ -7,11 +7,14 @@ is enumerated). By the pigeonhole, any two signatures at a distance below 2 * CH
 in a quarter of the places, 24 of 96, and the chance that a pair meets under no key is below one in 10^5.
 
 1. Equal sets become one representative, the smallest id (aggregation by a 128-bit fingerprint of the set).
-2. Each key gets its smallest member as head; members meet heads, never each other, so a hot key costs a row a member.
+2. Each key gets four heads, its first and last members by id and by hash; members meet heads, never each other, so a
+   hot key costs four rows a member.
 3. Pairs within the signature distance are confirmed on the full sets, read again from the texts of candidates only.
-4. Confirmed links give components. A key whose members lie in several components may hide a link that its head does
-   not show: for these keys alone members of different components are compared by signature, in blocks, and the near
-   ones confirmed; then components are settled again. A link inside a component changes nothing and is not looked for.
+4. Confirmed links give components. A key whose members lie in several components may hide a link that its heads do
+   not show. The texts under such keys fall into clusters (linked by sharing one); a cluster is cut into blocks, and a task
+   compares two blocks: members of different components within the signature distance are confirmed on their full sets
+   there, and the links of a spanning forest come out. Then components are settled again. A link inside a component
+   changes nothing and is not looked for.
 
 Defined results: a null text, or one without words, has the empty set, links with nothing and is kept; texts of fewer
 than five words have their whole sequence as one shingle; rows with the same id are one document; a null id links with
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read, ship
+from .common import Scratch, components, local_components, read, ship
 from .hashing import mix, runs, words
 
 SHINGLE = 5
@@ -37,7 +40,8 @@ DISTANCE = 44
 #: Candidates' ids are broadcast (8 bytes each) up to this count; beyond it texts meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
 _ODD = mix(np.arange(1, SYMBOLS + 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
-BLOCK = 1024
+#: Shingles of a block of texts that are compared within a task.
+BLOCK = 200_000
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -54,10 +58,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
             if k >= SHINGLE:
                 out.append(np.unique(joined[a : a + k - SHINGLE + 1]))
             elif k:
-                whole = np.uint64(k)
-                for j in range(k):
-                    whole = whole + h[a + j] * _ODD[SYMBOLS + 8 + j]
-                out.append(mix(np.array([whole])))
+                whole = (h[a : a + k] * _ODD[SYMBOLS + 8 : SYMBOLS + 8 + k]).sum(keepdims=True)
+                out.append(mix(whole + np.uint64(k)))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
@@ -96,41 +98,63 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids, pa.int64())], names=["key", "rep"])
 
 
-def _near(batches):
-    """Pairs of members of one key that lie in different components and within the distance; rows come sorted by key."""
-    held: list = []
-
-    def pairs(rows):
-        ids, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-        size = np.array([r[4] for r in rows], float)
-        for i in range(0, len(ids), BLOCK):
-            for j in range(0, i + BLOCK, BLOCK):
-                if j >= len(ids):
-                    break
-                a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                ok = (comp[a, None] != comp[None, b]) & (ids[a, None] > ids[None, b])
-                ok &= np.minimum(size[a, None], size[None, b]) * 100 >= PERCENT * np.maximum(size[a, None], size[None, b])
-                x, y = np.nonzero(ok)
-                for k in range(0, len(x), 65536):
-                    p, q = x[k : k + 65536], y[k : k + 65536]
-                    far = (sig[a][p] != sig[b][q]).sum(axis=1)
-                    near = far <= DISTANCE
-                    yield ids[a][p[near]], ids[b][q[near]]
-
-    def flush(rows):
-        if len(rows) > 1:
-            for a, b in pairs(rows):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+def _block_links(batches):
+    """Rows (k, i, j, side, rep, c, sig, s), sorted by (k, i, j), to links between different components of two blocks.
+    Of all links found between the blocks, those of a spanning forest are given out."""
+
+    def group(i, j, rows):
+        left = [r for r in rows if r[0] == i]
+        right = left if i == j else [r for r in rows if r[0] == j]
+        if not left or not right:
+            return None
+        ids = np.array([r[1] for r in right], np.int64)
+        comp = np.array([r[2] for r in right], np.int64)
+        sig = np.frombuffer(b"".join(r[3] for r in right), np.uint16).reshape(-1, SYMBOLS)
+        sets = [np.frombuffer(r[4], np.uint64) for r in right]
+        size = np.array([len(x) for x in sets])
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        p, q = [], []
+        for rep, c, g, raw in ((r[1], r[2], r[3], r[4]) for r in left):
+            x = np.frombuffer(raw, np.uint64)
+            ok = (comp != c) & (np.minimum(size, len(x)) * 100 >= PERCENT * np.maximum(size, len(x)))
+            if i == j:
+                ok &= ids > rep
+            ok[ok] = (sig[ok] != np.frombuffer(g, np.uint16)).sum(axis=1) <= DISTANCE
+            if not ok.any():
+                continue
+            at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+            mark = np.zeros(len(vocabulary), np.int64)
+            mark[at[vocabulary[at] == x]] = 1
+            common = np.add.reduceat(mark[flat], begin)
+            hit = ids[ok & (100 * common >= PERCENT * (size + len(x) - common))]
+            p.append(np.full(len(hit), rep))
+            q.append(hit)
+        if not p or not sum(map(len, p)):
+            return None
+        p, q = np.concatenate(p), np.concatenate(q)
+        used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+        root = local_components(len(used), (back[: len(p)], back[len(p) :]))
+        return used, used[root]
+
+    held, now = [], None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                yield from flush(held)
-                held = []
+        for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (k, i, j) != now:
+                if held and (got := group(now[1], now[2], held)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["u", "v"])
+                held, now = [], (k, i, j)
             held.append(row)
-    yield from flush(held)
+    if held and (got := group(now[1], now[2], held)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["u", "v"])
+
+
+def _raw_sets(batches):
+    for batch in batches:
+        for off in range(0, batch.num_rows, 256):
+            part = batch.slice(off, 256)
+            sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
 
 
 def _sets(batches):
@@ -161,6 +185,24 @@ def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, signs: DataFra
     return out
 
 
+def _across(scratch: Scratch, docs: DataFrame, members: DataFrame, comp: DataFrame, signs: DataFrame) -> DataFrame:
+    """Links (u, v) between members of a key that lie in different components so far."""
+    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("head")).where("lo < hi").select("key", "head")
+    open_ = scratch.save(placed.join(split, "key").select("rep", "c", "head").distinct())
+    cluster = components(scratch, open_.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+    rest = open_.select("rep", "c").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("k")), "rep").join(signs.withColumnRenamed("id", "rep"), "rep")
+    rest = scratch.save(rest)
+    blocks = rest.groupBy("k").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(blocks, "k").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    ids = rest.select(F.col("rep").alias("i")).distinct()
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = docs.join(side, docs["id"] == F.col("i"), "left_semi").select("id", "text").mapInArrow(_raw_sets, "id long, s binary").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
+    rows = rest.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("k", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "c", "sig", "s")
+    return scratch.save(rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_block_links, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row."""
     ship(docs.sparkSession)
@@ -173,17 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = scratch.save(signs)
 
     keys = signs.select("id", "sig").mapInArrow(_keys, "key long, rep long")
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last")
+    by = F.struct(F.xxhash64("rep").alias("h"), "rep")
+    heads = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(by).alias("lh"), F.max(by).alias("hh")).where("lo < hi")
+    heads = heads.select("key", F.array_distinct(F.array("lo", "hi", "lh.rep", "hh.rep")).alias("heads"))
     members = scratch.save(keys.join(heads, "key"))
-    pairs = members.where("rep > head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    pairs = members.select("rep", F.explode("heads").alias("head")).where("rep <> head").select(F.greatest("rep", "head").alias("a"), F.least("rep", "head").alias("b")).distinct()
     links = _confirm(scratch, docs, pairs, signs)
     comp = components(scratch, links)
 
-    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(split, "key", "left_semi").join(signs.select(F.col("id").alias("rep"), "sig", "n"), "rep")
-    rest = rest.select("key", "rep", "c", "sig", "n").repartition("key").sortWithinPartitions("key")
-    more = _confirm(scratch, docs, rest.mapInArrow(_near, "a long, b long").distinct(), signs)
+    more = _across(scratch, docs, members, comp, signs)
     if more.limit(1).count():
         comp = components(scratch, links.unionByName(more))
     scratch.drop(members)
