@@ -355,7 +355,15 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     in_words, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     n_all, v_all = in_words + ends, v + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "w").limit(HEAD).toPandas()
+    # the head: all words from a frequency step on, as low as HEAD words allow
+    step = F.floor(F.log2("c") * 16).cast("int")
+    total, least = 0, None
+    for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():  # some hundred steps
+        total += r.n
+        if total > HEAD:
+            break
+        least = r.s
+    top = counts.where(step >= least if least is not None else F.lit(False)).orderBy("w").toPandas()
     model = Model(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), n_all, v_all, ends)
     order = [F.xxhash64(id_col), F.col(id_col)]
     ids = train.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("__i")).orderBy(F.xxhash64("__i"), "__i").limit(SAMPLE)
