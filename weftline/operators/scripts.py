@@ -222,7 +222,8 @@ def extract_python(text: str) -> Extraction:
         else:
             out.hints.append(f"line {_line(text, call.start())}: {hint} gets an expression")
     for m in strings:
-        doc = len(m.group("q")) == 3 and re.search(r"(?:^|:)\s*$", text[: m.start()]) is not None
+        before = text[: m.start()].rstrip(" \t")
+        doc = len(m.group("q")) == 3 and (not before.strip() or before.endswith("\n") and before.rstrip()[-1:] not in "(,=[{+")
         if m.start() not in taken and not doc and SQL_START.match(m.group("body")) and looks_like_sql(m.group("body")):
             entry(m, "literal")
     out.entries.sort(key=lambda e: e.start)

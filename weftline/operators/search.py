@@ -73,7 +73,7 @@ def entity_of(question: str) -> str:
     return _ASKING.sub("", question).strip()
 
 
-def answer(store: Store, question: str, limit: int = 5) -> dict:
+def answer(store: Store, question: str, limit: int = 20) -> dict:
     """A rule-made answer: intent, entity, text and the rows behind it."""
     intent, about = intent_of(question), entity_of(question)
     rows: list[dict] = []

@@ -333,7 +333,7 @@ def fixture_kb(s: SparkSession) -> dict[str, DataFrame]:
 
 
 @query(values([("net_amt", "dwd.dwd_order_line", "算术计算", "净额 = l_extendedprice * (1 - l_discount)"), ("is_big", "dwd.dwd_order_line", "条件分支", "大单标志 = CASE WHEN 数量 > 25 THEN 1 ELSE 0 END"), ("total_qty", "dws.dws_nation_day", "聚合", "总数量 = SUM(数量)"), ("total_amt", "dws.dws_nation_day", "聚合", "总净额 = SUM(净额)"),
-               ("unit_price", "dws.dws_nation_day", "比率", "均价 = 净额 / 数量"), ("cust_cnt", "dws.dws_nation_day", "聚合", "客户 = COUNT(DISTINCT 客户键)"), ("cust_amt", "dws.dws_cust", "聚合", "客户金额 = SUM(净额 - 0)"), ("rn", "dws.dws_cust", "窗口函数", "rn = ROW_NUMBER()OVER(PARTITION BY 大单标志 ORDER BY 净额 DESC)")], "metric_name, table_name, metric_type, formula")
+               ("unit_price", "dws.dws_nation_day", "比率", "均价 = 净额 / 数量"), ("cust_cnt", "dws.dws_nation_day", "聚合", "客户 = COUNT(DISTINCT 客户键)"), ("cust_amt", "dws.dws_cust", "聚合", "客户金额 = 净额 - 0"), ("rn", "dws.dws_cust", "窗口函数", "rn = ROW_NUMBER()OVER(PARTITION BY 大单标志 ORDER BY 净额 DESC)")], "metric_name, table_name, metric_type, formula")
        .replace("净额 = l_extendedprice * (1 - l_discount)", "净额 = 原价 * (1 - 折扣率)"))
 def k_metrics(s, d):
     return fixture_kb(s)["metrics"].select("metric_name", "table_name", "metric_type", F.regexp_replace("formula", r" *([()]) *", "$1").alias("formula")).withColumn("formula", F.regexp_replace("formula", r"\*\(", "* (")).withColumn("formula", F.regexp_replace("formula", r"(\w)COUNT", "$1 COUNT"))
