@@ -30,31 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this process's operators left in the shared folder. Their results must be written by then."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
-    ``drop`` deletes tables that later steps no longer read; what a returned DataFrame reads stays.
+    ``drop`` deletes tables that later steps no longer read; what a returned DataFrame reads stays until ``clean``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0, {}
+        _made.append(self.base)
 
-    def save(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         _, path = self.paths.pop(id(df))
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
 
 
 def ship(spark: SparkSession) -> None:
