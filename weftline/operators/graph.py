@@ -138,13 +138,12 @@ def closure(g: Graph) -> DataFrame:
     """(a, b): b is reachable from a in one hop or more. Semi-naive: only new pairs are extended, by doubling."""
     e = _kept(_pairs(g, False))
     seen, front = e, e
-    while True:
+    while front.limit(1).count():
         step = front.join(seen.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
         step = step.unionByName(seen.select("a", F.col("b").alias("m")).join(front.select(F.col("a").alias("m"), F.col("b").alias("c")), "m").select("a", F.col("c").alias("b")))
         front = _kept(step.distinct().join(seen, ["a", "b"], "left_anti"))
-        if not front.limit(1).count():
-            return seen
         seen = _kept(seen.unionByName(front))
+    return seen
 
 
 def _view(df: DataFrame, name: str) -> str:
@@ -228,9 +227,25 @@ def focus(g: Graph, table: str, depth: int | None = None) -> Graph:
 # ---- cycles, order, depth
 
 
+def core(g: Graph) -> Graph:
+    """What is left when tables without sources and tables without readers are taken away again and again: cycles and the
+    ways between them. An acyclic graph has an empty core."""
+    e = _kept(g.edges.select("source", "target").distinct())
+    n = e.count()
+    while n:
+        fed = e.select(F.col("target").alias("source")).distinct()
+        read = e.select(F.col("source").alias("target")).distinct()
+        e = _kept(e.join(fed, "source", "left_semi").join(read, "target", "left_semi"))
+        n, old = e.count(), n
+        if n == old:
+            break
+    return Graph(g.nodes, e)
+
+
 def scc(g: Graph) -> DataFrame:
-    """(name, component, size): strongly connected components, named by their smallest member."""
-    reach = closure(g)
+    """(name, component, size): strongly connected components, named by their smallest member. Reachability is worked out
+    in the core alone."""
+    reach = closure(core(g))
     both = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     own = both.groupBy(F.col("a").alias("name")).agg(F.min("b").alias("m"))
     x = g.nodes.select("name").join(own, "name", "left").select("name", F.least("name", F.coalesce("m", "name")).alias("component"))
