@@ -31,6 +31,7 @@ THRESHOLD = 0.9
 WIDTH = 1.2
 MISS = 0.03
 BUCKET = 2048
+SMALL = 48
 SEED = 20240607
 
 
@@ -109,53 +110,74 @@ def _deal(dtype, k, tables, whole):
     return run
 
 
-def _link(dtype, k, threshold):
-    """Groups (key, i, j) of sorted rows to (a, n, b): n more linked rows of a, or b linked with a."""
-
-    def group(tab, i, j, rows):
-        cid, m = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        side = np.array([r[3] for r in rows])
-        x = unit([r[2] for r in rows], dtype)
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
-        p, q = [], []
+def _hits(x: np.ndarray, side: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float):
+    """Pairs of rows within groups whose cosine reaches the threshold. Small groups of a size are one stacked product."""
+    small = (size <= SMALL) & (i == j)
+    for n in np.unique(size[small]).tolist():
+        if n < 2:
+            continue
+        first = start[small & (size == n)]
+        above = np.triu(np.ones((n, n), bool), 1)
+        for s in range(0, len(first), max(1, 65536 // (n * n))):
+            rows = first[s : s + max(1, 65536 // (n * n)), None] + np.arange(n)
+            v = x[rows]
+            g, a, b = np.nonzero((v @ v.transpose(0, 2, 1) >= threshold) & above)
+            yield rows[g, a], rows[g, b]
+    for k in np.flatnonzero(~small).tolist():
+        rows = np.arange(start[k], start[k] + size[k])
+        left = rows[side[rows] == i[k]]
+        right = left if i[k] == j[k] else rows[side[rows] == j[k]]
         for s in range(0, len(left), 512):
-            hit, to = np.nonzero(x[left[s : s + 512]] @ x[right].T >= threshold)
-            hit, to = left[s : s + 512][hit], right[to]
-            keep = hit < to if i == j else hit >= 0
-            p.append(hit[keep])
-            q.append(to[keep])
-        p, q = np.concatenate(p or [left]), np.concatenate(q or [left])
+            a, b = np.nonzero(x[left[s : s + 512]] @ x[right].T >= threshold)
+            a, b = left[s : s + 512][a], right[b]
+            keep = a < b if i[k] == j[k] else a >= 0
+            yield a[keep], b[keep]
+
+
+def _link(dtype, k, threshold):
+    """Sorted rows to (a, n, b): n more linked rows of a, and b, linked with a over pairs of the batch."""
+
+    def solve(c):
+        new = np.ones(len(c["key"]), bool)
+        new[1:] = (np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
+        got = list(_hits(c["x"], c["side"], start, size, c["i"][start], c["j"][start], threshold))
+        p, q = np.concatenate([g[0] for g in got] or [start[:0]]), np.concatenate([g[1] for g in got] or [start[:0]])
         if not len(p):
             return None
         used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
-        a, b = back[: len(p)], back[len(p) :]
-        first = np.ones(len(p), bool)
-        if tab:
-            codes = cells(x[used], k, 0, tab)
-            for s in range(0, len(p), 65536):
-                first[s : s + 65536] = (codes[a[s : s + 65536]] != codes[b[s : s + 65536]]).all(axis=1)
-        n = np.zeros(len(used), np.int64)
-        np.add.at(n, a[first], m[used][b[first]])
-        np.add.at(n, b[first], m[used][a[first]])
-        ids = cid[used]
-        order = np.argsort(ids)
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        root = local_components(len(ids), (rank[a], rank[b]))
-        return ids[order], n[order], ids[order][root]
+        codes = cells(c["x"][used], k, 0, int(c["tab"][used].max()) + 1)
+        first = np.empty(len(p), bool)
+        for s in range(0, len(p), 65536):  # counted in the first table that holds the pair
+            a, b = back[: len(p)][s : s + 65536], back[len(p) :][s : s + 65536]
+            first[s : s + 65536] = (codes[a] == codes[b]).argmax(axis=1) == c["tab"][p[s : s + 65536]]
+        ids, who = np.unique(c["cid"][used], return_inverse=True)
+        a, b = who[back[: len(p)]], who[back[len(p) :]]
+        n = np.zeros(len(ids), np.int64)
+        np.add.at(n, a[first], c["m"][q[first]])
+        np.add.at(n, b[first], c["m"][p[first]])
+        return ids, n, ids[local_components(len(ids), (a, b))]
 
     def run(batches):
-        held, now = [], None
+        held: dict[int, dict] = {}
         for batch in batches:
-            for key, i, j, tab, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    if len(held) > 1 and (got := group(*at, held)):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["a", "n", "b"])
-                    held, now, at = [], (key, i, j), (tab, i, j)
-                held.append(row)
-        if len(held) > 1 and (got := group(*at, held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["a", "n", "b"])
+            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "i", "j", "tab", "cid", "m", "side")}
+            raws = batch.column("x").to_pylist()
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+            for width in np.unique(sizes).tolist():  # vectors of one length; a group holds no other
+                rows = np.flatnonzero(sizes == width)
+                c = {n: v[rows] for n, v in cols.items()} | {"x": unit([raws[r] for r in rows.tolist()], dtype)}
+                if width in held:
+                    c = {n: np.concatenate([held[width][n], v]) for n, v in c.items()}
+                same = (c["key"] == c["key"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
+                cut = int(np.flatnonzero(same)[0])  # the last group may go on
+                held[width] = {n: v[cut:] for n, v in c.items()}
+                if cut and (got := solve({n: v[:cut] for n, v in c.items()})):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got], names=["a", "n", "b"])
+        for c in held.values():
+            if got := solve(c):
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got], names=["a", "n", "b"])
 
     return run
 
