@@ -159,6 +159,20 @@ def test_analysis(spark):
     assert workflow.stitch(x["graph"], "dwd.b", ["dwd.b", "dws.d"]) == ["src.a", "ods.a", "dwd.b", "dws.d"]
 
 
+def test_sub_workflows(spark):
+    import dataclasses
+
+    rows = [(1, 1, "a", "SUB_PROCESS", '{"processDefinitionCode": 2}'), (2, 2, "b", "SUB_PROCESS", '{"processDefinitionCode": 3}'), (3, 3, "c", "SUB_PROCESS", '{"processDefinitionCode": 1}')]
+    snap = dataclasses.replace(snapshot(spark), tasks=spark.createDataFrame(rows, "workflow_code long, code long, name string, task_type string, task_params string"))
+    assert workflow.expand(spark, snap, 1) == [(1, 0), (2, 1), (3, 2)] and workflow.expand(spark, snap, 1, 1) == [(1, 0), (2, 1)]
+
+
+def test_texts(spark):
+    g = graph.Graph.of_pairs(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "source string, target string"))
+    assert "a: 2 tables in 2 levels" in graph.impact_text(graph.impact(g, "a")) and graph.impact_text(graph.impact(g, "q")) == "no such table"
+    assert graph.cycles_text(graph.cycles(g).collect()) == "a -> b -> a" and "tables: 3" in graph.stats_text(graph.stats(g))
+
+
 def test_chain_starts_at_sources(spark):
     g = graph.Graph.of_pairs(spark.createDataFrame([("dim.dim_brand", "dwd_b"), ("ods.ods_a", "dwd_b"), ("dwd_b", "dws_c")], "source string, target string"))
     assert workflow.longest_chain(g) == ["ods.ods_a", "dwd_b", "dws_c"]

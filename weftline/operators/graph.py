@@ -372,3 +372,24 @@ def mermaid(g: Graph, highlight: str | None = None, direction: str = "LR") -> st
     if highlight:
         out += ["  classDef center fill:#f96", "  classDef up fill:#9cf", "  classDef down fill:#cf9"]
     return "\n".join(out)
+
+
+# ---- text
+
+
+def impact_text(found: dict) -> str:
+    """The result of ``impact`` as lines."""
+    if not found["found"]:
+        return "no such table" + (f"; did you mean {', '.join(found['candidates'])}?" if found["candidates"] else "")
+    out = [f"{found['table']}: {len(found['tables'])} tables in {len(found['levels'])} levels"]
+    out += [f"  {k}: {', '.join(v)}" for k, v in sorted(found["levels"].items())]
+    out += ["  " + " -> ".join(p) for p in found["paths"]]
+    return "\n".join(out + (["  (more paths not listed)"] if found["paths_truncated"] else []))
+
+
+def cycles_text(rows: list) -> str:
+    return "\n".join(" -> ".join([*r.nodes, r.nodes[0]]) for r in rows) or "no cycles"
+
+
+def stats_text(s: dict) -> str:
+    return "\n".join(f"{k}: {', '.join(f'{a} {b}' for a, b in v.items()) if isinstance(v, dict) else v}" for k, v in s.items())

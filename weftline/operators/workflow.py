@@ -202,3 +202,58 @@ def analyze(spark: SparkSession, snap: Snapshot, metrics: DataFrame | None = Non
         "task_tables": tt, "errors": errors, "records": records, "graph": g, "task_edges": task_edges(tt), "dependencies": deps, "levels": workflow_levels(snap.workflows, deps), "index": table_index(tt), "chain": chain,
         "quality": quality(tt, metrics), "cycles": loops, "stats": {"projects": snap.projects.count(), "workflows": snap.workflows.count(), "tasks": snap.tasks.count(), "relations": snap.relations.count(), "tables": n.tables, "reads": n.reads, "writes": n.writes, "parse_errors": errors.count(), "edges": g.edges.count()},
     }
+
+
+# ---- questions to a snapshot
+
+
+def tasks_of_table(snap: Snapshot, tt: DataFrame, table: str) -> DataFrame:
+    """(project, workflow, task, direction) of the tasks that read or write a table; the name may lack its schema."""
+    low, key = F.lower("table"), table.strip().lower()
+    hit = tt.where((low == key) | (low.endswith("." + key) if "." not in key else F.lit(False)))
+    names = snap.tasks.select(F.col("workflow_code"), F.col("code").alias("task_code"), F.col("name").alias("task"), "task_type")
+    flows = snap.workflows.select(F.col("code").alias("workflow_code"), F.col("name").alias("workflow"), F.col("project_code"))
+    return hit.join(names, ["workflow_code", "task_code"]).join(flows, "workflow_code").join(snap.projects.select(F.col("code").alias("project_code"), F.col("name").alias("project")), "project_code").select("project", "workflow", "task", "task_type", "table", "direction")
+
+
+def annotated(g: Graph, tt: DataFrame, table: str, up: bool = True, depth: int | None = None) -> DataFrame:
+    """(name, level, tasks) of what lies up- or downstream, with the tasks that write each table."""
+    made = tt.where("direction = 'write'").groupBy(F.col("table").alias("name")).agg(F.array_sort(F.collect_set("task_code")).alias("tasks"))
+    from .graph import levels
+
+    return levels(g, table, up, depth).join(made, "name", "left").withColumn("tasks", F.coalesce("tasks", F.array().cast("array<bigint>")))
+
+
+def project_detail(snap: Snapshot, tt: DataFrame, project: str) -> DataFrame:
+    """(workflow, tasks, written) of a project's workflows."""
+    own = snap.projects.where(F.lower("name") == project.strip().lower()).select(F.col("code").alias("project_code"))
+    flows = snap.workflows.join(own, "project_code", "left_semi").select(F.col("code").alias("workflow_code"), F.col("name").alias("workflow"))
+    n = snap.tasks.groupBy("workflow_code").agg(F.count("*").alias("tasks"))
+    w = tt.where("direction = 'write'").groupBy("workflow_code").agg(F.array_sort(F.collect_set("table")).alias("written"))
+    out = flows.join(n, "workflow_code", "left").join(w, "workflow_code", "left")
+    return out.select("workflow", F.coalesce("tasks", F.lit(0)).alias("tasks"), F.coalesce("written", F.array().cast("array<string>")).alias("written"))
+
+
+def expand(spark: SparkSession, snap: Snapshot, workflow_code: int, depth: int = 3) -> list[tuple[int, int]]:
+    """(workflow, level) of a workflow and the sub-workflows its tasks start, each once."""
+    found, front = {workflow_code: 0}, [workflow_code]
+    for level in range(1, depth + 1):
+        rows = snap.tasks.where(F.col("workflow_code").isin(front)).select("task_params").collect()  # one workflow's tasks
+        front = sorted({code for r in rows for code, kind in references(r.task_params) if kind == "sub_process" and code not in found})
+        if not front:
+            break
+        found |= dict.fromkeys(front, level)
+    return sorted(found.items(), key=lambda x: (x[1], x[0]))
+
+
+def attribute_metrics(tt: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(workflow_code, task_code, n_metrics): metrics known of the tables a task writes."""
+    m = metrics.groupBy(F.lower("table_name").alias("t")).agg(F.count("*").alias("n"))
+    x = tt.where("direction = 'write'").withColumn("t", F.lower("table")).join(m, "t", "left")
+    return x.groupBy("workflow_code", "task_code").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_metrics"))
+
+
+def table_dependencies(tt: DataFrame) -> DataFrame:
+    """(workflow_code, table): tables a workflow both writes and reads."""
+    w = tt.where("direction = 'write'").select("workflow_code", "table").distinct()
+    return w.join(tt.where("direction = 'read'").select("workflow_code", "table").distinct(), ["workflow_code", "table"])

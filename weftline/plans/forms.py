@@ -236,3 +236,66 @@ def q_struct_map(s, d):
 def q_percentile(s, d):
     t(s, d, "lineitem").createOrReplaceTempView("wf_lineitem2")
     return s.sql("SELECT l_returnflag, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90 FROM wf_lineitem2 GROUP BY l_returnflag")
+
+
+# ---- forms that write: into a table of the session's warehouse, read back
+
+
+def _into(s: SparkSession, name: str, ddl: str, *statements: str) -> DataFrame:
+    """A new table, filled by statements that call it {t}; the rows are read into the result's plan from its files."""
+    import uuid
+
+    table = f"wf_{name}_{uuid.uuid4().hex[:10]}"
+    s.sql(f"CREATE TABLE {table} {ddl}")
+    for x in statements:
+        s.sql(x.format(t=table))
+    return s.table(table)
+
+
+@form("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+def q_insert_static_partition(s, d):
+    t(s, d, "nation").createOrReplaceTempView("wf_nation")
+    ddl = "(n_nationkey INT, n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey)"
+    return _into(s, "static", ddl, "INSERT OVERWRITE TABLE {t} PARTITION (n_regionkey = 1) SELECT n_nationkey, n_name FROM wf_nation", "INSERT OVERWRITE TABLE {t} PARTITION (n_regionkey = 1) SELECT n_nationkey, n_name FROM wf_nation WHERE n_regionkey = 1")
+
+
+@form("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_insert_dynamic_partition(s, d):
+    t(s, d, "nation").createOrReplaceTempView("wf_nation")
+    ddl = "(n_nationkey INT, n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey)"
+    return _into(s, "dynamic", ddl, "INSERT INTO {t} PARTITION (n_regionkey) SELECT n_nationkey, n_name, n_regionkey FROM wf_nation")
+
+
+@form("SELECT r_regionkey, upper(r_name) AS u FROM region")
+def q_create_as_select(s, d):
+    t(s, d, "region").createOrReplaceTempView("wf_region")
+    return _into(s, "ctas", "USING parquet COMMENT 'regions' TBLPROPERTIES ('a' = 'b') AS SELECT r_regionkey, upper(r_name) AS u FROM wf_region")
+
+
+@form("SELECT * FROM (VALUES (1::INT, 'a'), (2, 'b')) v(k, v)")
+def q_insert_values(s, d):
+    return _into(s, "vals", "(k INT, v STRING) USING parquet", "INSERT INTO {t} VALUES (1, 'a'), (2, 'b')")
+
+
+@form("""SELECT 'big' AS kind, o_orderkey FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'open', o_orderkey FROM orders WHERE o_orderstatus = 'O'""")
+def q_multi_insert(s, d):
+    t(s, d, "orders").createOrReplaceTempView("wf_orders")
+    text = "FROM wf_orders INSERT INTO {t} SELECT 'big', o_orderkey WHERE o_totalprice > 300000 INSERT INTO {t} SELECT 'open', o_orderkey WHERE o_orderstatus = 'O'"
+    return _into(s, "multi", "(kind STRING, o_orderkey BIGINT) USING parquet", text)
+
+
+@form("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS bal FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT -s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 7 = 0""")
+def q_merge(s, d):
+    """MERGE without a table format that knows it: update, delete and insert as one full join."""
+    old = t(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("bal"))
+    up = old.where("s_suppkey % 3 = 0 and s_suppkey % 5 <> 0").select("s_suppkey", (F.col("bal") + 1).alias("new"), F.lit("update").alias("act"))
+    gone = old.where("s_suppkey % 5 = 0").select("s_suppkey", F.lit(None).cast("double").alias("new"), F.lit("delete").alias("act"))
+    add = old.where("s_suppkey % 7 = 0").select((-F.col("s_suppkey")).alias("s_suppkey"), F.col("bal").alias("new"), F.lit("insert").alias("act"))
+    x = old.join(up.unionByName(gone).unionByName(add), "s_suppkey", "full").where("act is null or act <> 'delete'")
+    return x.select("s_suppkey", F.when(F.col("act").isNull(), F.col("bal")).otherwise(F.col("new")).alias("bal"))
+
+
+@form("""SELECT d.doc_id, d.w, w.n FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents) d JOIN (SELECT string_split(text, ' ')[1] AS w, count(*) AS n FROM documents GROUP BY 1) w ON d.w = w.w WHERE w.n > 1""")
+def q_nested_window(s, d):
+    first = t(s, d, "documents").select("doc_id", F.element_at(F.split("text", " "), 1).alias("w"))
+    return first.withColumn("n", F.count("*").over(Window.partitionBy("w"))).where("n > 1")

@@ -427,6 +427,35 @@ def w_longest_chain(s, d):
     return s.createDataFrame([(i, n) for i, n in enumerate(workflow.analyze(s, snapshot(s))["chain"], 1)], "pos int, name string")
 
 
+@query(f"WITH {_T} SELECT 'p' AS project, CASE w WHEN 1 THEN 'collect' ELSE 'sum' END AS workflow, 't' || k AS task, dir AS direction FROM tt WHERE tab = 'dwd.b'")
+def w_tasks_of_table(s, d):
+    return workflow.tasks_of_table(snapshot(s), fixture_tables(s), "b").select("project", "workflow", "task", "direction")
+
+
+@query(f"WITH {_T} SELECT CASE w WHEN 1 THEN 'collect' ELSE 'sum' END AS workflow, CASE w WHEN 1 THEN 2 ELSE 3 END::BIGINT AS tasks, string_agg(DISTINCT tab, ',' ORDER BY tab) AS written FROM tt WHERE dir = 'write' GROUP BY w")
+def w_project_detail(s, d):
+    return workflow.project_detail(snapshot(s), fixture_tables(s), "P").withColumn("written", F.array_join("written", ","))
+
+
+@query(f"WITH {_T} SELECT a.w::BIGINT AS workflow_code, a.tab AS \"table\" FROM tt a JOIN tt b ON a.w = b.w AND a.tab = b.tab AND a.dir = 'write' AND b.dir = 'read' GROUP BY ALL")
+def w_internal_tables(s, d):
+    return workflow.table_dependencies(fixture_tables(s))
+
+
+@query(values([("dws.d", 1, "21"), ("dwd.b", 2, "12"), ("zz.q", 2, ""), ("ods.a", 3, "11"), ("src.a", 4, "")], "name, level, tasks"))
+def w_annotated_upstream(s, d):
+    tt, _, records = workflow.task_tables(s, snapshot(s).tasks)
+    from .plans.lineage import statements_frame
+
+    g = Graph.of_pairs(edges_frame(statements_frame(s, records)))
+    return workflow.annotated(g, tt, "ads.e").withColumn("tasks", F.array_join(F.transform("tasks", lambda x: x.cast("string")), ","))
+
+
+@query(f"WITH {_T} SELECT w::BIGINT AS workflow_code, k::BIGINT AS task_code, (2 * count(*) FILTER (tab = 'dwd.b'))::BIGINT AS n_metrics FROM tt WHERE dir = 'write' GROUP BY ALL")
+def w_attributed_metrics(s, d):
+    return workflow.attribute_metrics(fixture_tables(s), s.createDataFrame([("DWD.b", "m1"), ("dwd.B", "m2"), ("x.y", "m3")], "table_name string, metric_name string"))
+
+
 # ---- validation
 
 PAIRS = [("src.a", "dws.b", "s1"), ("dws.b", "ads.c", "s2"), ("ads.c", "dws.b", "s3"), ("zz.q", "ads.c", "s2"), ("ods.x", "dwd.y", "s4")]
