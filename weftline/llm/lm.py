@@ -38,7 +38,8 @@ WINDOW = 24
 #: Head words seen less often share the class of the words outside the head, so that class is learnt in small corpora too.
 LEAST = 2
 LANES = 256
-EPOCHS = 2
+#: Tokens read in training, all passes together; small samples are passed over up to PASSES times.
+TRAIN_TOKENS, PASSES = 1_600_000, 8
 FLUSH = 1_500_000
 
 
@@ -109,7 +110,7 @@ class Net:
         a -= a.max(axis=1, keepdims=True)
         return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, epochs: int = EPOCHS, window: int = WINDOW, rate: float = 0.004) -> list[float]:
+    def train(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, epochs: int = 2, window: int = WINDOW, rate: float = 0.004) -> list[float]:
         """Truncated backpropagation through windows of (time, lane) arrays; target -1 is padding."""
         p, k = self.p, self.h
         m = {n: np.zeros_like(v) for n, v in p.items()}
@@ -227,7 +228,7 @@ class Model:
                 x[t : t + sizes[i], k], y[t : t + sizes[i], k] = stream[s], target[s]
                 fresh[t, k] = True
                 t += int(sizes[i])
-        return self.net.train(x, y, fresh)
+        return self.net.train(x, y, fresh, max(1, min(PASSES, round(TRAIN_TOKENS / max(1, len(stream))))))
 
     def _classes(self, at: np.ndarray, doc: np.ndarray, docs: int) -> None:
         top = np.argsort(-self.count, kind="stable")
