@@ -224,6 +224,18 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_clashing_columns(spark, docs, rows):
+    import pyspark.sql.functions as F
+
+    names = ["b", "r", "s", "c", "i", "t", "x", "cut", "fill", "next", "target", "rate", "copies", "shard", "slot", "n_hit", "score", "id", "kept", "sig", "key"]
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    assert mixing.mix(wide).count() == sharding.shard_by_bytes(wide).count() == len(rows)
+    bench = spark.createDataFrame([(1, "one two three", 5)], "item_id long, text string, x int")
+    assert decontam.report(wide, bench).where("contaminated").count() == 2 and decontam.decontaminate(wide, bench).columns == wide.columns
+    assert minhash.keep_one(wide).columns == wide.columns and tokens.count_tokens(wide).count() == len(rows)
+    assert quality.score(wide, quality.Model(b"", b"")).count() == suffix.remove_repeats(wide).count() == len(rows)
+
+
 def labelled(n=240):
     rnd = random.Random(9)
     texts, y = [], []

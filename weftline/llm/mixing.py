@@ -89,13 +89,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
         lambda a, x: F.when(x["own"] <= a["left"], F.struct((a["left"] - x["own"]).alias("left"), F.concat(a["h"], F.array(x["h"])).alias("h"))).otherwise(a),
     )["h"])
     plan = cuts.join(filled.select(F.col("__s").alias("s"), "picked"), cuts["__s"].eqNullSafe(F.col("s")), "left")
-    plan = scratch.save(plan.select(F.col("__s").alias("ps"), F.col("__c").alias("pc"), "cut", F.array_intersect("picked", F.col("next.h")).alias("fill")))
+    plan = scratch.save(plan.select(F.col("__s").alias("__ps"), F.col("__c").alias("__pc"), F.col("cut").alias("__cut"), F.array_intersect("picked", F.col("next.h")).alias("__fill")))
     small = plan.count() <= BROADCAST_CUTS
     near = F.broadcast if small else (lambda x: x)
 
-    out = rows.join(near(goals), rows["__s"].eqNullSafe(source)) if "source" not in rows.columns else rows.join(near(goals.withColumnRenamed("source", "__gs")), rows["__s"].eqNullSafe(F.col("__gs")))
-    out = out.join(near(plan), out["__s"].eqNullSafe(F.col("ps")) & (out["__c"] == F.col("pc")), "left")
-    more = (F.coalesce(F.col("__h") <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("fill", F.col("__h")), F.lit(False))).cast("int")
+    out = rows.join(near(goals.withColumnRenamed("source", "__gs")), rows["__s"].eqNullSafe(F.col("__gs")))
+    out = out.join(near(plan), out["__s"].eqNullSafe(F.col("__ps")) & (out["__c"] == F.col("__pc")), "left")
+    more = (F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)) | F.coalesce(F.array_contains("__fill", F.col("__h")), F.lit(False))).cast("int")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.floor("rate").cast("int") + more).otherwise(F.lit(1)))
     return out.select(*keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 

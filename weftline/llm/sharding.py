@@ -33,19 +33,19 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     slim = dealt.select("__p", "__g", "__id", "size")
     upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = scratch.save(
-        slim.groupBy("__p").agg(F.sum("size").alias("b"), F.count("*").alias("r"))
-        .select("__p", F.coalesce(F.sum("b").over(upto), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(upto), F.lit(0)).alias("r0"), "b")
+        slim.groupBy("__p").agg(F.sum("size").alias("__n"), F.count("*").alias("__k"))
+        .select("__p", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__b0"), F.coalesce(F.sum("__k").over(upto), F.lit(0)).alias("__r0"), "__n")
     )
-    total = offsets.agg(F.sum("b")).first()[0]
+    total = offsets.agg(F.sum("__n")).first()[0]
 
     def placed(rows: DataFrame) -> DataFrame:
         inside = Window.partitionBy("__p").orderBy("__g", "__id")
         run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return (
-            rows.join(F.broadcast(offsets.drop("b")), "__p")
-            .withColumn("__at", F.col("b0") + F.sum("size").over(run) - F.col("size"))
-            .withColumn("__row", F.col("r0") + F.row_number().over(inside) - 1)
-            .drop("b0", "r0")
+            rows.join(F.broadcast(offsets.drop("__n")), "__p")
+            .withColumn("__at", F.col("__b0") + F.sum("size").over(run) - F.col("size"))
+            .withColumn("__row", F.col("__r0") + F.row_number().over(inside) - 1)
+            .drop("__b0", "__r0")
         )
 
     cuts = _cuts(scratch, placed(slim), total, n_shards, tolerance) if total else []
