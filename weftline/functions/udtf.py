@@ -17,4 +17,7 @@ class ExtractSqls:
 
 
 def register(spark) -> None:
+    from weftline.runtime import ship
+
+    ship(spark)
     spark.udtf.register("extract_sqls", ExtractSqls)

@@ -16,6 +16,7 @@ from ..functions.columns import aggregate_of, classify_expression, describe_filt
 from ..functions.names import CONFIDENCE, Glossary, localize, normalize, split_comment_unit, strip_aggregates
 from ..plans.lineage import CONSTANT
 from ..plans.text import comments
+from ..runtime import ship
 from .graph import Graph
 
 #: Kinds of rules, and what makes a comment a rule.
@@ -57,6 +58,7 @@ def comment_frames(files: DataFrame) -> DataFrame:
                     rows += [(path, kind, k, n) for k, n in pairs]
             yield pd.DataFrame(rows, columns=["file", "kind", "key", "note"])
 
+    ship(files.sparkSession)
     return files.select("path", "text").mapInPandas(run, "file string, kind string, key string, note string")
 
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..runtime import ship
+
 # Client commands, their switches for text and files, task types, and what tells the kinds of scripts apart.
 CLIENTS = "hive hivef beeline spark-sql spark_sql spark3-sql impala-shell impala mysql psql clickhouse-client".split()
 TEXT_SWITCHES = "-e --execute -q --query -c --command --sql".split()
@@ -258,6 +260,7 @@ def extract_frame(scripts: DataFrame) -> DataFrame:
                 rows += [(path, got.kind, i, e.sql, e.hint, e.line, e.note, e.placeholders, e.resolved) for i, e in enumerate(got.entries)]
             yield pd.DataFrame(rows, columns=["path", "kind", "seq", "sql", "source_hint", "line", "note", "placeholders", "resolved"])
 
+    ship(scripts.sparkSession)
     return scripts.select("path", "text", "task_type").mapInPandas(run, EXTRACT_SCHEMA)
 
 
