@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import sys
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,27 +67,6 @@ class Scratch:
         _delete(self.spark, path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors where they would not find it themselves."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
-    if root in known or getattr(spark.sparkContext, "_weftline_shipped", False):
-        return
-    import tempfile
-    import zipfile
-
-    path = os.path.join(tempfile.mkdtemp(), "weftline_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "weftline")):
-            for x in names:
-                if x.endswith(".py"):
-                    z.write(os.path.join(folder, x), os.path.relpath(os.path.join(folder, x), root))
-    spark.sparkContext.addPyFile(path)
-    spark.sparkContext._weftline_shipped = True
-    if path in sys.path:
-        sys.path.remove(path)
-
-
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``; component is the smallest node reachable.
 
