@@ -220,6 +220,14 @@ def test_generate(spark, store):
     assert generate.join_keys(["a", "x_id", "x_code"], ["x_id", "x_code", "a"]) == ["x_code", "x_id", "a"]
 
 
+def test_what_the_graph_says(spark):
+    g = fixture_scan(spark).graph()
+    assert generate.main_upstream(g, "dws.dws_nation_day") == "dwd.dwd_order_line" and generate.partition_field(g, "ods.lineitem") == "dt" and generate.main_upstream(g, "src.lineitem") is None
+    assert {r.expression for r in generate.expressions_into(g, "dwd.dwd_order_line").where("target_column = 'net_amt'").collect()} == {"l.l_extendedprice * (1 - l.l_discount)"}
+    assert generate.edges_into(g, "ads.ads_board").count() == 2
+    assert generate.detect_aliases("a.x + b.y - 'c.z'") == ["a", "b"] and generate.rewrite_aliases("a.x + b.y - 'a.z'", {"a": "t1"}) == "t1.x + b.y - 'a.z'"
+
+
 def test_pipeline_and_validation(spark, store):
     p = generate.pipeline(store, "经营看板")
     assert p["target"] == "ads.ads_board" and [s["target_table"] for s in p["stages"]][-1] == "ads.ads_board" and p["stages"][-1]["depends_on"]
@@ -261,6 +269,7 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["impact", g, "src.lineitem"], spark) == 0 and cli.main(["impact", g, "zz.zz"], spark) == 1
     assert cli.main(["cycle", g], spark) == 1 and cli.main(["path", g, "src.lineitem", "ads.ads_board"], spark) == 0
     assert cli.main(["kb-build", str(tmp_path / "kb"), root], spark) == 0 and cli.main(["kb-ask", str(tmp_path / "kb"), "有哪些指标"], spark) == 0
+    assert cli.main(["kb-show", str(tmp_path / "kb"), "net_amt"], spark) == 0 and cli.main(["kb-fields", str(tmp_path / "kb"), "--table", "ods.orders"], spark) == 0
     assert cli.main(["parse", f"{root}/08_adhoc.sql"], spark) == 0 and cli.main(["wrong"], spark) == 2
     assert cli.main(["parse-script", f"{ROOT}/fixtures/scripts/load.sh"], spark) == 0
 

@@ -31,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
     add("kb-summary", arg("store"))
     add("kb-search", arg("store"), arg("query"), arg("--kind", action="append"), arg("--limit", type=int, default=10))
     add("kb-ask", arg("store"), arg("question"))
+    add("kb-show", arg("store"), arg("metric"))
+    for n in ("kb-terms", "kb-fields"):
+        add(n, arg("store"), arg("--table"), arg("--limit", type=int, default=50))
     add("kb-export", arg("store"), arg("--markdown", action="store_true"))
     add("ds-sync", arg("base"), arg("out"), arg("--user", default=""), arg("--password", default=""), arg("--project", action="append"))
     add("ds-analyze", arg("snapshot"))
@@ -113,6 +116,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             show(rows(search.search(Store(spark, a.store), a.query, tuple(a.kind or search.KINDS), a.limit).orderBy("kind", "rank")))
         elif c == "kb-ask":
             print(search.answer(Store(spark, a.store), a.question)["answer"])
+        elif c == "kb-show":
+            show(rows(Store(spark, a.store).get_metric(a.metric)))
+        elif c in ("kb-terms", "kb-fields"):
+            df = Store(spark, a.store).table(c[3:])
+            if a.table:
+                from pyspark.sql import functions as F
+
+                df = df.where(F.array_contains("tables", a.table) if c == "kb-terms" else F.col("table_name") == a.table)
+            show(rows(df.orderBy(*(["term"] if c == "kb-terms" else ["table_name", "column_name"])).limit(a.limit)))
         elif c == "kb-export":
             store = Store(spark, a.store)
             print(render.kb_markdown(store)) if a.markdown else show(store.export_json())

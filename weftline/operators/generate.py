@@ -129,6 +129,42 @@ def render(g: Generated, group_by: list[str], partition: dict[str, str], where:
     return "\n".join(lines)
 
 
+# ---- what the graph says of a table
+
+
+def edges_into(g: Graph, table: str) -> DataFrame:
+    return g.edges.where(F.col("target") == table).orderBy(F.desc("column_mappings"), "source")
+
+
+def expressions_into(g: Graph, table: str) -> DataFrame:
+    """(source, target_column, source_column, expression) of everything that fills a table."""
+    return g.edges.where(F.col("target") == table).select("source", F.explode("columns").alias("c")).select("source", "c.target_column", "c.source_column", "c.expression")
+
+
+def main_upstream(g: Graph, table: str) -> str | None:
+    """The source with most column mappings, dimension tables last."""
+    e = g.edges.where((F.col("target") == table) & (F.col("source") != table))
+    got = e.orderBy(table_layer(F.col("source")) == "dim", F.desc("column_mappings"), "source").select("source").first()
+    return got.source if got else None
+
+
+def partition_field(g: Graph, table: str) -> str | None:
+    """The partition column that statements writing a table name most often."""
+    e = g.edges.where((F.col("target") == table) & (F.size("partition_filters") > 0)).select(F.explode("partition_filters").alias("k", "v"))
+    got = e.groupBy("k").count().orderBy(F.desc("count"), "k").first()
+    return got.k if got else None
+
+
+def detect_aliases(expr: str) -> list[str]:
+    """Prefixes of columns in an expression, in order."""
+    return list(dict.fromkeys(m.group(1) for m in re.finditer(r"(?<![\w.'])([^\W\d]\w*)\s*\.\s*[^\W\d]", re.sub(r"'[^']*'", "''", expr))))
+
+
+def rewrite_aliases(expr: str, new: dict[str, str]) -> str:
+    """An expression with its column prefixes replaced."""
+    return re.sub(r"'[^']*'|(?<![\w.])([^\W\d]\w*)(?=\s*\.\s*[^\W\d])", lambda m: m.group() if m.group()[0] == "'" else new.get(m.group(1), m.group(1)), expr)
+
+
 # ---- pipelines
 
 
