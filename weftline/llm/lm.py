@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
-from .hashing import mix, runs, words
+from .hashing import runs, words
 from .learn import SAMPLE_BYTES, remainder
 
 HEAD = 1 << 18
