@@ -165,6 +165,15 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
 
+def test_cuts_of_large_totals(spark):
+    total, n = 30_000_000_000, 8
+    edges = [0, *(k * total // n + d for k in range(1, n) for d in (-500, 1500)), total]  # each cut 500 bytes into a row of 2,000
+    rows = spark.createDataFrame([(f"{i:02}", a, b - a) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "__g string, __at long, size long")
+    assert sharding._cuts(Scratch(spark, "t"), rows, total, n, 0.01) == [k * total // n - 500 for k in range(1, n)]
+    with pytest.raises(RuntimeError, match="no row holds cut"):
+        sharding._cuts(Scratch(spark, "t"), rows.where("__at < 20000000000"), total, n, 0.01)
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = [(1, " ".join((rows[5][1] or "").split()[2:30])), (10, "ONE, two three!"), (2, None), (3, "..."), (4, rows[40][1]), (4, rows[40][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")

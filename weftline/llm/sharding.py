@@ -60,15 +60,18 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
 
 def _cuts(scratch: Scratch, rows: DataFrame, total: int, n: int, tolerance: float) -> list[int]:
     """The byte offsets where shards 1 to n-1 start: n-1 numbers."""
-    part = lambda x: F.floor((x * n) / F.lit(total))
+    part = lambda x: F.expr(f"(cast({x} as decimal(38,0)) * {n}) div cast({total} as decimal(38,0))")  # noqa: E731  exact; / on decimals rounds
     rows = scratch.save(rows.select("__g", "__at", "size"))
-    over = rows.where(part(F.col("__at").cast("decimal(38,0)")) != part((F.col("__at") + F.col("size")).cast("decimal(38,0)")))
-    over = scratch.save(over)  # fewer than n rows: each holds a cut
+    over = rows.where(part("__at") != part("(__at + size)"))
+    over = scratch.save(over)  # at most n rows: each holds a cut or the end
     groups = rows.join(F.broadcast(over.select("__g").distinct()), "__g", "left_semi").groupBy("__g").agg(F.min("__at").alias("lo"), F.max(F.col("__at") + F.col("size")).alias("hi"))
     found = over.join(groups, "__g").select("__at", "size", "lo", "hi").collect()
     cuts = []
     for k in range(1, n):
-        at, size, lo, hi = next(((a, s, x, y) for a, s, x, y in found if a * n < k * total <= (a + s) * n), (0, 0, 0, 0))
+        held = next(((a, s, x, y) for a, s, x, y in found if a * n < k * total <= (a + s) * n), None)
+        if held is None:
+            raise RuntimeError(f"no row holds cut {k} of {n} over {total} bytes")
+        at, size, lo, hi = held
         whole = (hi - lo) * n <= tolerance * total
         a, b = (lo, hi) if whole else (at, at + size)
         cuts.append(a if k * total - a * n <= b * n - k * total else b)
