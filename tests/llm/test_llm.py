@@ -368,6 +368,18 @@ def test_head_and_rest_agree(docs, monkeypatch):
         assert r.n_known == whole[r.doc_id].n_known and math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-9)
 
 
+def test_every_training_text_trains(spark):
+    """A topic that only long texts have is learnt: they score above the words' own frequencies."""
+    import pyspark.sql.functions as F
+
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"a{rnd.randrange(100)}" for _ in range(400))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"b{rnd.randrange(100)}" for _ in range(14000))) for i in range(4)]
+    assert min(len(t) for i, t in rows if i >= 1000) > learn.SAMPLE_BYTES
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.lit(True)).where("doc_id >= 1000").collect()
+    assert all(r.score > r.base_score + 0.2 * r.n_tokens for r in got)
+
+
 def test_gradient():
     """The net learns a fixed cycle of classes almost surely."""
     net = lm.Net(4, 4, hidden=8)

@@ -7,10 +7,14 @@ documents, split by frequency, one class for all words outside the head, and the
 has (c + 1) / Z, with c its count over the corpus and Z the class's sum, so the corpus fixes that factor exactly; words
 outside the head get their c by a join on the hash, and nothing is dropped.
 
+The clusters come from sums over all training texts: each text adds its signs (SIGNS bits of a hash of id and text) to
+its words, so words that share texts get like vectors; the sums meet in a shuffle by word.
+
 The recurrent net (numpy, float32) reads the previous word, or its class when the word is not among the INPUTS most
-frequent. Its weights and the clusters are fitted by truncated backpropagation on a bounded sample, the first SAMPLE
-training texts by a hash of the id; counts and every score cover all rows and whole texts. A worker packs texts
-into LANES streams; the state is carried from window to window through a whole text and cleared where the next begins.
+frequent. All training texts train it, whole, in ROUNDS rounds: every task goes by truncated backpropagation over
+its part of the round's texts (those with the round's remainders of a hash of the id), and the weights of all tasks are
+averaged by their tokens. A worker packs texts into LANES streams. In scoring, the state is carried from window to window
+through a whole text and cleared where the next begins; in training it is also cleared after each STRETCH tokens.
 
 Defined results: a null or empty text is one end token; equal rows get equal counts and base scores; with an empty
 training part counts are 0 and the classes' shares stay as initialised; no rows give no rows; other columns are ignored.
@@ -18,6 +22,7 @@ training part counts are 0 and the classes' shares stay as initialised; no rows
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -26,20 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
-from .hashing import runs, words
-from .learn import SAMPLE_BYTES, remainder
+from .hashing import mix, runs, words
+from .learn import remainder
 
 HEAD = 1 << 18
 INPUTS = 2048
 CLUSTERS = 24
-SAMPLE = 1500
+SIGNS = 48
 HIDDEN = 24
 WINDOW = 24
 #: Head words seen less often share the class of the words outside the head, so that class is learnt in small corpora too.
 LEAST = 2
 LANES = 256
-#: Tokens read in training, all passes together; small samples are passed over up to PASSES times.
+#: Small training parts are passed over up to PASSES times, until this many tokens are read; larger ones once.
 TRAIN_TOKENS, PASSES = 1_600_000, 8
+ROUNDS = 4
+#: Tokens that a task trains on at least, and gathers clusters from at least, where partitions are smaller; tokens held
+#: at a time in training, and the longest piece of a text in one stream.
+TASK_TOKENS, GATHER_TOKENS, BLOCK, STRETCH = 1_600_000, 8_000_000, 400_000, 1024
 FLUSH = 1_500_000
 
 
@@ -93,7 +102,7 @@ class Net:
     def __init__(self, inputs: int, classes: int, hidden: int = HIDDEN, seed: int = 7):
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) * 0.5 / math.sqrt(s[0])).astype(np.float32)
-        self.h = hidden
+        self.h, self.past = hidden, None
         self.p = {"e": (r.standard_normal((inputs, hidden)) * 0.3).astype(np.float32), "w": f(hidden, 3 * hidden), "u": f(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "o": f(hidden, classes), "ob": np.zeros(classes, np.float32)}
 
     def step(self, h: np.ndarray, x: np.ndarray):
@@ -113,9 +122,10 @@ class Net:
     def train(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, epochs: int = 2, window: int = WINDOW, rate: float = 0.004) -> list[float]:
         """Truncated backpropagation through windows of (time, lane) arrays; target -1 is padding."""
         p, k = self.p, self.h
-        m = {n: np.zeros_like(v) for n, v in p.items()}
-        v = {n: np.zeros_like(x) for n, x in p.items()}
-        losses, at = [], 0
+        if self.past is None:
+            self.past = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
+        m, v, at = self.past
+        losses = []
         for _ in range(epochs):
             h, total, seen = np.zeros((inputs.shape[1], k), np.float32), 0.0, 0
             for s in range(0, len(inputs), window):
@@ -165,6 +175,7 @@ class Net:
                     v[name] = 0.999 * v[name] + 0.001 * q * q
                     p[name] -= (rate * math.sqrt(1 - 0.999**at) / (1 - 0.9**at)) * m[name] / (np.sqrt(v[name]) + 1e-7)
             losses.append(total / max(1, seen))
+        self.past = m, v, at
         return losses
 
 
@@ -191,6 +202,7 @@ class Model:
         self.head, self.count = head[order], count[order]
         self.cls = np.zeros(len(head), np.int32)
         self.rare, self.end = 0, 1
+        self.outside = n_all - ends - int(count.sum())
         self.rare_z = n_all - ends - int(count.sum()) + max(0, v_all - 1 - len(head)) + 1
         self.ends = ends
         self.z = np.array([max(1, self.rare_z), ends + 1], float)
@@ -204,49 +216,50 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
         return np.where(self.head[at] == h, at, -1)
 
-    def fit(self, texts: list[str]) -> list[float]:
-        parts = [words(texts[lo:hi]) for lo, hi in runs(texts)]
-        h = np.concatenate([a for a, _ in parts] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([b for _, b in parts] or [np.zeros(0, np.int64)])
-        at = self.find(h)
-        doc = np.repeat(np.arange(len(n)), n)
-        self._classes(at, doc, len(n))
-        stream, target = self._streams(at, n)
+    def fit(self, vectors: np.ndarray) -> None:
+        """Classes from the words' sums of signs, and a net that knows the classes' shares."""
+        self._classes(vectors)
+        share = np.bincount(self.cls, weights=self.count, minlength=len(self.z)) + 1.0
+        share[self.rare] += self.outside
+        share[self.end] += self.ends
         self.net = Net(INPUTS + len(self.z) + 1, len(self.z))
-        share = np.bincount(target, minlength=len(self.z)) + 1.0
         self.net.p["ob"] = np.log(share / share.sum()).astype(np.float32)
-        sizes = n + 1
-        begin = np.cumsum(sizes) - sizes
+
+    def learn(self, net: Net, parts: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float) -> None:
+        """Trains ``net`` on the words of some texts, as ``words`` gives them."""
+        n = np.concatenate([b for _, b in parts])
+        stream, target = self._streams(self.find(np.concatenate([a for a, _ in parts])), n)
+        pieces = -(-(n + 1) // STRETCH)
+        upto = np.cumsum(pieces) - pieces
+        inside = np.arange(int(pieces.sum())) - np.repeat(upto, pieces)
+        begin = np.repeat(np.cumsum(n + 1) - n - 1, pieces) + inside * STRETCH
+        sizes = np.minimum(STRETCH, np.repeat(n + 1, pieces) - inside * STRETCH)
         deal = lanes(sizes, LANES)
-        length = max((int(sizes[d].sum()) for d in deal), default=0) if len(sizes) else 0
+        length = max(int(sizes[d].sum()) for d in deal)
         x, y = np.zeros((length, len(deal)), np.int64), np.full((length, len(deal)), -1)
         fresh = np.zeros((length, len(deal)), bool)
-        for k, docs in enumerate(deal if length else []):
+        for k, own in enumerate(deal):
             t = 0
-            for i in docs:
+            for i in own:
                 s = slice(begin[i], begin[i] + sizes[i])
                 x[t : t + sizes[i], k], y[t : t + sizes[i], k] = stream[s], target[s]
                 fresh[t, k] = True
                 t += int(sizes[i])
-        return self.net.train(x, y, fresh, max(1, min(PASSES, round(TRAIN_TOKENS / max(1, len(stream))))))
+        net.train(x, y, fresh, epochs, rate=rate)
 
-    def _classes(self, at: np.ndarray, doc: np.ndarray, docs: int) -> None:
+    def _classes(self, v: np.ndarray) -> None:
         top = np.argsort(-self.count, kind="stable")
-        known = at >= 0
-        words_, inverse, seen = np.unique(at[known], return_inverse=True, return_counts=True)
-        sign = np.random.default_rng(11).choice([-1.0, 1.0], (max(1, docs), 48))
-        v = np.stack([np.bincount(inverse, weights=sign[doc[known], k], minlength=len(words_)) for k in range(sign.shape[1])], 1) if len(words_) else np.zeros((0, 48))
-        v /= np.sqrt((v * v).sum(1, keepdims=True)) + 1e-9
-        often = seen >= 3
-        label = np.full(len(words_), -1)
-        if often.sum() > 4 * CLUSTERS:
-            x = v[often]
-            centre = x[np.argsort(-seen[often], kind="stable")[: 4 * CLUSTERS : 4]]
+        often = np.flatnonzero(self.count >= 3)
+        label = np.full(len(self.count), -1)
+        if len(often) > 4 * CLUSTERS:
+            x = v if len(often) == len(v) else v[often]
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + np.float32(1e-9)
+            centre = x[np.argsort(-self.count[often], kind="stable")[: 4 * CLUSTERS : 4]]
             for _ in range(12):
                 own = np.argmax(x @ centre.T, axis=1)
-                for c in range(len(centre)):
-                    if (own == c).any():
-                        centre[c] = x[own == c].sum(0) / (np.sqrt((x[own == c].sum(0) ** 2).sum()) + 1e-9)
+                mid = np.stack([np.bincount(own, weights=x[:, k], minlength=len(centre)) for k in range(x.shape[1])], 1)
+                used = np.bincount(own, minlength=len(centre)) > 0
+                centre[used] = (mid / (np.sqrt((mid * mid).sum(1, keepdims=True)) + 1e-9))[used]
             label[often] = own
         else:
             label[often] = 0
@@ -254,8 +267,7 @@ class Model:
         place = np.empty(len(top), np.int64)
         place[top] = np.arange(len(top))
         self.cls = (2 + np.minimum(3, np.log2(place / 4096 + 1).astype(int))).astype(np.int32)
-        w = words_[label >= 0]
-        self.cls[w] = 6 + 2 * label[label >= 0] + (place[w] >= 512)
+        self.cls[often] = 6 + 2 * label[often] + (place[often] >= 512)
         self.cls[self.count < LEAST] = self.rare
         self.z = np.zeros(6 + 2 * CLUSTERS)
         np.add.at(self.z, self.cls, self.count + 1.0)
@@ -318,6 +330,111 @@ class Model:
         return np.add.reduceat(out, begin)
 
 
+def _texts(batches, column: int):
+    """(batch, words, number of words of each text) of runs of texts."""
+    for batch in batches:
+        for off in range(0, batch.num_rows, 512):
+            part = batch.slice(off, 512)
+            texts = [t or "" for t in part.column(column).to_pylist()]
+            for lo, hi in runs(texts):
+                yield (part.slice(lo, hi - lo), *words(texts[lo:hi]))
+
+
+def _together(shared):
+    """(w, v0, ...): for places in the head, the sums of the signs of the texts they stand in, once for each time."""
+
+    def run(batches):
+        m = shared.value
+        sums = np.zeros((SIGNS, len(m.head)), np.int64)
+
+        def add(held):
+            at, n = np.concatenate([a for a, _, _ in held]), np.concatenate([b for _, b, _ in held])
+            keys = mix(np.concatenate([c for _, _, c in held]))
+            known = at >= 0
+            at, doc = at[known], np.repeat(np.arange(len(n)), n)[known]
+            for k in range(SIGNS):
+                sign = ((keys >> np.uint64(k)) & np.uint64(1)) * 2.0 - 1
+                sums[k] += np.bincount(at, weights=sign[doc], minlength=len(m.head)).astype(np.int64)
+
+        held, n = [], 0
+        for part, h, own in _texts(batches, 1):
+            held.append((m.find(h), own, part.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+            n += len(h) + len(own)
+            if n >= FLUSH:
+                add(held)
+                held, n = [], 0
+        if held:
+            add(held)
+        some = np.flatnonzero(sums.any(0))
+        for s in range(0, len(some), 16384):
+            w = some[s : s + 16384]
+            yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array(sums[k, w]) for k in range(SIGNS))], names=["w", *(f"v{k}" for k in range(SIGNS))])
+
+    return run
+
+
+def _train(shared, net: Net, epochs: int, rate: float):
+    """(task, tokens, weights) of the net after the task's texts; nothing where there are none."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        m, own = shared.value, copy.deepcopy(net)
+        held, n, tokens = [], 0, 0
+        for _, h, k in _texts(batches, 0):
+            held.append((h, k))
+            n += len(h) + len(k)
+            if n >= BLOCK:
+                m.learn(own, held, epochs, rate)
+                tokens += n
+                held, n = [], 0
+        if n:
+            m.learn(own, held, epochs, rate)
+            tokens += n
+        if tokens:
+            flat = np.concatenate([own.p[x].ravel() for x in sorted(own.p)]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([tokens]), pa.array([flat.tobytes()], pa.binary())], names=["k", "n", "p"])
+
+    return run
+
+
+def _fit(scratch: Scratch, model: Model, train: DataFrame, id_col: str, text_col: str, n_all: int) -> None:
+    """Clusters and net from all rows of ``train``."""
+    spark = train.sparkSession
+    vectors = np.zeros((len(model.head), SIGNS), np.float32)
+    shared = spark.sparkContext.broadcast(model)
+    if len(model.head):
+        names = [f"v{k}" for k in range(SIGNS)]
+        rows = train.select(F.xxhash64(id_col, text_col).alias("h"), text_col).coalesce(max(1, n_all // GATHER_TOKENS))
+        rows = rows.mapInArrow(_together(shared), "w long, " + ", ".join(f"{x} long" for x in names))
+        sums = scratch.save(rows.groupBy("w").agg(*[F.sum(x).cast("float").alias(x) for x in names]))
+        for s in range(0, len(vectors), 1 << 15):  # eight slices at most, as all at once crowd the driver
+            got = sums.where(F.col("w").between(s, s + (1 << 15) - 1)).toPandas()
+            vectors[got["w"].to_numpy()] = got[names].to_numpy(np.float32)
+        scratch.drop(sums)
+    model.fit(vectors)
+    shared.unpersist()
+    if not n_all:
+        return
+    shared = spark.sparkContext.broadcast(model)
+    passes = max(1, min(PASSES, round(TRAIN_TOKENS / n_all)))
+    share, epochs = min(passes, ROUNDS), max(1, round(passes / ROUNDS))
+    turn = F.pmod(F.xxhash64(id_col), F.lit(ROUNDS))
+    for r in range(ROUNDS):
+        rows = train.where(turn.isin([(r * share + k) % ROUNDS for k in range(share)])).select(text_col).coalesce(max(1, n_all * share // ROUNDS // TASK_TOKENS))
+        nets = scratch.save(rows.mapInArrow(_train(shared, model.net, epochs, 0.004 * (1 - r / ROUNDS)), "k long, n long, p binary"))
+        total, mean = 0, 0.0
+        for x in nets.orderBy("k").toLocalIterator():
+            total, mean = total + x.n, mean + x.n * np.frombuffer(x.p, np.float32).astype(float)
+        scratch.drop(nets)
+        at = 0
+        for name in sorted(model.net.p) if total else ():
+            p = model.net.p[name]
+            model.net.p[name] = (mean[at : at + p.size] / total).reshape(p.shape).astype(np.float32)
+            at += p.size
+    shared.unpersist()
+
+
 def _score(shared):
     def run(batches):
         m = shared.value
@@ -366,10 +483,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         least = r.s
     top = counts.where(step >= least if least is not None else F.lit(False)).orderBy("w").toPandas()
     model = Model(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), n_all, v_all, ends)
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    ids = train.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("__i")).orderBy(F.xxhash64("__i"), "__i").limit(SAMPLE)
-    sample = train.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("__i"), "left_semi").where(F.octet_length(text_col) <= SAMPLE_BYTES).select(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(text_col).alias("t")).toPandas()
-    model.fit(sample.sort_values(["o0", "o1", "t"], kind="stable")["t"].tolist()[:SAMPLE])
+    _fit(scratch, model, train, id_col, text_col, n_all)
 
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
