@@ -44,10 +44,32 @@ def layer_step_ok(source: Column, target: Column) -> Column:
     return free | step.between(0, 1)
 
 
+#: A lexeme is a name that opens a bracket, another name, a number, a run of comment signs, or one sign.
+_LEXEME = r"[A-Za-z_][A-Za-z_0-9]*\s*\(|[\p{L}_][\p{L}\p{N}_]*|[0-9][0-9.]*|[/*]{2,}|\S"
+#: Shapes that an expression's outline, one letter a lexeme, may hold; the first one found gives the class.
+_OUTLINES = (("V", 0), ("C.*W|W.*C", 1), ("/", 2), ("A", 3), (r"[xCW)][-+*/][xFAVCW(]", 4), ("[FAV]", 5))
+
+
+def _lexemes(expr: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(expr, F.lit("")), F.lit(_LEXEME), 0)
+
+
+def _opened(lexeme: Column) -> Column:
+    """The upper-cased function that a lexeme opens, null for other lexemes."""
+    name = F.upper(F.rtrim(F.translate(lexeme, "(", "")))
+    return F.when((F.right(lexeme, F.lit(1)) == "(") & (F.length(lexeme) > 1) & ~name.isin(*NOT_FUNCTIONS), name)
+
+
+def _letter(lexeme: Column) -> Column:
+    name, up = _opened(lexeme), F.upper(lexeme)
+    out = F.when(name == "OVER", "V").when(name.isin(*AGGREGATES), "A").when(name.isNotNull(), "F").when(F.length(up) > 1, F.when(up == "CASE", "C").when(up == "WHEN", "W"))
+    out = out.when(up.rlike(r"^[/*]{2,}$"), "~").when(up.isin("(", "["), "(").when(up.isin(")", "]"), ")").when(up.isin("+", "-", "*", "/"), up)
+    return F.coalesce(out, F.when(up.rlike(r"^[\p{L}\p{N}_]"), F.when(F.right(up, F.lit(1)) == "(", "(").otherwise("x")), F.lit("~"))
+
+
 def detect_functions(expr: Column) -> Column:
     """Distinct upper-cased function names in order of appearance."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(expr, F.lit("")), F.lit(r"\b([A-Za-z_][A-Za-z_0-9]*)\s*\("), 1), F.upper)
-    return F.array_distinct(F.filter(found, lambda f: ~f.isin(*NOT_FUNCTIONS)))
+    return F.array_distinct(F.array_compact(F.transform(_lexemes(expr), _opened)))
 
 
 def aggregate_of(expr: Column) -> Column:
@@ -56,31 +78,28 @@ def aggregate_of(expr: Column) -> Column:
 
 
 def classify_expression(expr: Column) -> Column:
-    """One of CLASSES; the first that applies."""
-    e = F.coalesce(expr, F.lit(""))
-    up = F.upper(e)
-    return (
-        F.when(e == "", CLASSES[6])
-        .when(up.rlike(r"\bOVER\s*\(") | F.regexp_replace(up, " ", "").contains("OVER("), CLASSES[0])
-        .when(up.contains("CASE") & up.contains("WHEN"), CLASSES[1])
-        .when(e.rlike(r"(^|[^/*])/($|[^/*])"), CLASSES[2])
-        .when(aggregate_of(e).isNotNull(), CLASSES[3])
-        .when(e.rlike(r"[\w)\]]\s*[+\-*/]\s*[\w(\[]"), CLASSES[4])
-        .when(F.size(detect_functions(e)) > 0, CLASSES[5])
-        .otherwise(CLASSES[6])
-    )
+    """One of CLASSES, read off the outline of the expression's lexemes; the first that applies."""
+    outline = F.array_join(F.transform(_lexemes(expr), _letter), "")
+    found = [F.when(outline.rlike(shape), F.lit(CLASSES[k])) for shape, k in _OUTLINES]
+    return F.coalesce(*found, F.lit(CLASSES[6]))
+
 
+#: Signs that part the words of a query.
+QUERY_SIGNS = "，,。.、;；:：!！?？'\"“”‘’()（）[]【】/\\|"
+_APART = str.maketrans(dict.fromkeys(QUERY_SIGNS, " "))
 
-_WIDE = re.compile("[一-鿿]+")
-_STOPS = re.compile(r"[\s　,，。.、;；:：!！?？'\"“”‘’()（）\[\]【】/\\|]+")
+
+def _han(sign: str) -> bool:
+    return "\u4e00" <= sign <= "\u9fff"
 
 
 def query_tokens(query: str) -> list[str]:
     """The words of a query; words that are not CJK also give their parts at _ and -."""
-    out: list[str] = []
-    for w in _STOPS.sub(" ", query.strip()).split():
-        out += [w, *([] if _WIDE.fullmatch(w) else [p for p in re.split(r"[_\-]+", w) if p])]
-    return list(dict.fromkeys(out))
+    found: dict[str, None] = {}
+    for word in query.translate(_APART).split():
+        parts = [] if all(map(_han, word)) else word.replace("-", "_").split("_")
+        found |= dict.fromkeys(filter(None, [word, *parts]))
+    return list(found)
 
 
 def score_text(text: Column, query: str) -> Column:
@@ -93,7 +112,7 @@ def score_text(text: Column, query: str) -> Column:
     if len(words) > 1:
         hits = sum((F.when(hay.contains(w.lower()), 1).otherwise(0) for w in words), F.lit(0))
         out = out.when(hits > 0, F.lit(45.0) * hits / len(words))
-    if _WIDE.search(needle):
+    if any(map(_han, needle)):
         out = out.when(hay.rlike("(?s)" + ".*".join(map(re.escape, needle))), 40.0)
     return out.otherwise(0.0)
 
@@ -103,21 +122,26 @@ def weighted_score(fields: list[tuple[Column, float]], query: str) -> Column:
     return F.round(F.greatest(*[score_text(c, query) * w for c, w in fields], F.lit(0.0)), 1)
 
 
+#: Kinds of filter conditions in the order they are tried: a pattern on the upper-cased text, what stands
+#: before and after the condition in its sentence.
+FILTER_KINDS = (
+    (r"IS NOT NULL", "空值过滤：", "（该字段为空视为脏数据）"),
+    (r"(DT|PT|DS|DATE|MONTH)\s*=", "时点/分区过滤：", ""),
+    (r"(DT|PT|DS|DATE)\s*[<>]", "时间范围过滤：", ""),
+    (r"\bIN\s*\(", "枚举过滤：", ""),
+    (r"<>|!=", "取值排除：", ""),
+    (r"(STATUS|TYPE|FLAG|LEVEL)\s*=", "状态过滤：", ""),
+    (r".", "过滤条件：", ""),
+)
+SHOWN = 120
+
+
 def describe_filter(expr: Column) -> Column:
-    """A sentence for a filter condition; the first kind that applies."""
-    e = F.trim(F.coalesce(expr, F.lit("")))
-    up = F.upper(e)
-    short = F.when(F.length(e) > 120, F.concat(F.substring(e, 1, 119), F.lit("…"))).otherwise(e)
-    return (
-        F.when(e == "", "过滤条件")
-        .when(up.contains("IS NOT NULL"), F.concat(F.lit("空值过滤："), short, F.lit("（该字段为空视为脏数据）")))
-        .when(up.rlike(r"(DT|PT|DS|DATE|MONTH)\s*="), F.concat(F.lit("时点/分区过滤："), short))
-        .when(up.rlike(r"(DT|PT|DS|DATE)\s*[<>]"), F.concat(F.lit("时间范围过滤："), short))
-        .when(up.rlike(r"\bIN\s*\("), F.concat(F.lit("枚举过滤："), short))
-        .when(e.rlike("<>|!="), F.concat(F.lit("取值排除："), short))
-        .when(up.rlike(r"(STATUS|TYPE|FLAG|LEVEL)\s*="), F.concat(F.lit("状态过滤："), short))
-        .otherwise(F.concat(F.lit("过滤条件："), short))
-    )
+    """A sentence for a filter condition, by the first of FILTER_KINDS; long conditions are shortened."""
+    said = F.trim(F.coalesce(expr, F.lit("")))
+    shown = F.when(F.length(said) > SHOWN, F.concat(F.left(said, F.lit(SHOWN - 1)), F.lit("…"))).otherwise(said)
+    kinds = [F.when(F.upper(said).rlike(f"(?s){pattern}"), F.concat(F.lit(lead), shown, F.lit(tail))) for pattern, lead, tail in FILTER_KINDS]
+    return F.coalesce(*kinds, F.lit("过滤条件"))
 
 
 def normalize_expression(expr: Column) -> Column:
