@@ -1,4 +1,4 @@
-"""What Python workers need: the package itself."""
+"""What runs need: the shared folder, and the package itself on Python workers."""
 
 from __future__ import annotations
 
@@ -8,6 +8,17 @@ import sys
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Only a local master may do without it; on a cluster a folder of one machine
+    would hold what others must read, so an unset name is an error there."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "/tmp/checkpoints/weftline"
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors where they would not find it themselves."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
