@@ -159,7 +159,8 @@ def extract_shell(text: str, read_file=None) -> Extraction:
                 name = ref.group(1) or ref.group(2)
                 used.add(name)
                 if name in names:
-                    out.entries.append(Entry(names[name].strip(), f"{command} {switch} ${name}", at, _line(text, at), f"from variable {name}"))
+                    own = re.search(rf"\b{name}=", text).start()  # the SQL stands where the variable is set
+                    out.entries.append(Entry(names[name].strip(), f"{command} {switch} ${name}", own, _line(text, own), f"from variable {name}"))
                 else:
                     out.hints.append(f"line {_line(text, at)}: variable {name} has no literal value")
             elif body.strip():
@@ -177,16 +178,27 @@ def extract_shell(text: str, read_file=None) -> Extraction:
 
 
 def neutral(body: str) -> tuple[str, list[str]]:
-    """An f-string's text with each field as 0 and doubled braces single, and the fields."""
-    marks: list[str] = []
-
-    def field_(m):
-        if m.group() in ("{{", "}}"):
-            return m.group()[0]
-        marks.append(m.group()[1:-1])
-        return "0"
-
-    return re.sub(r"\{\{|\}\}|\{[^{}]*\}", field_, body), marks
+    """An f-string's text with each field as 0 and doubled braces single, and the fields, which may hold braces themselves."""
+    out, marks, depth, begun = [], [], 0, 0
+    at = 0
+    while at < len(body):
+        sign = body[at]
+        if not depth and body[at : at + 2] in ("{{", "}}"):
+            out.append(sign)
+            at += 1
+        elif sign == "{":
+            depth += 1
+            if depth == 1:
+                begun = at + 1
+        elif sign == "}" and depth:
+            depth -= 1
+            if not depth:
+                marks.append(body[begun:at])
+                out.append("0")
+        elif not depth:
+            out.append(sign)
+        at += 1
+    return "".join(out) + (body[begun - 1 :] if depth else ""), marks
 
 
 def extract_python(text: str) -> Extraction:
@@ -264,28 +276,35 @@ def extract_frame(scripts: DataFrame) -> DataFrame:
     return scripts.select("path", "text", "task_type").mapInPandas(run, EXTRACT_SCHEMA)
 
 
+def parse_scripts(spark, scripts: list[tuple], kind: str | None = None, read_file=None) -> list[dict]:
+    """Lineage of all SQL in scripts (text, source, task type); each piece is parsed alone, so a broken one costs only itself."""
+    from ..plans.lineage import ParseError, aggregate, parse_texts
+
+    found = [extract(text, kind, task_type, read_file) for text, _, task_type in scripts]
+    pieces = [(source, e.sql) for got, (_, source, _) in zip(found, scripts, strict=True) for e in got.entries if e.sql]
+    parsed = iter(parse_texts(spark, pieces))
+    outs = []
+    for got in found:
+        out = {"kind": got.kind, "sqls": got.entries, "statements": [], "errors": [], "unresolved_hints": list(dict.fromkeys(got.hints)), "column_lineage": []}
+        via: dict[tuple[str, str], list[str]] = {}
+        for e in got.entries:
+            records = next(parsed) if e.sql else []
+            if isinstance(records, ParseError):
+                out["errors"].append({"line": e.line, "error": str(records)})
+                continue
+            for r in records:
+                r["statement_index"] = len(out["statements"]) + 1
+                out["statements"].append(r)
+                out["column_lineage"] += [c | {"source_hint": e.hint} for c in r["columns"]]
+                for s, t in aggregate([r])["table_lineage"]:
+                    via.setdefault((s, t), []).append(e.hint)
+        out["table_lineage"] = [{"source": s, "target": t, "via": list(dict.fromkeys(v))} for (s, t), v in sorted(via.items())]
+        for side in ("input", "output"):
+            out[f"{side}_tables"] = list(dict.fromkeys(t for r in out["statements"] for t in r[f"{side}_table_names"]))
+        outs.append(out)
+    return outs
+
+
 def parse_script(spark, text: str, source: str = "<script>", kind: str | None = None, task_type: str | None = None, read_file=None) -> dict:
-    """Lineage of all SQL in a script; each piece is parsed alone, so a broken one costs only itself."""
-    from ..plans.lineage import ParseError, aggregate, parse_sql
-
-    got = extract(text, kind, task_type, read_file)
-    out = {"kind": got.kind, "sqls": got.entries, "statements": [], "errors": [], "unresolved_hints": list(dict.fromkeys(got.hints)), "column_lineage": []}
-    via: dict[tuple[str, str], list[str]] = {}
-    for e in got.entries:
-        if not e.sql:
-            continue
-        try:
-            records = parse_sql(spark, e.sql, source)
-        except ParseError as x:
-            out["errors"].append({"line": e.line, "error": str(x)})
-            continue
-        for r in records:
-            r["statement_index"] = len(out["statements"]) + 1
-            out["statements"].append(r)
-            out["column_lineage"] += [c | {"source_hint": e.hint} for c in r["columns"]]
-            for s, t in aggregate([r])["table_lineage"]:
-                via.setdefault((s, t), []).append(e.hint)
-    out["table_lineage"] = [{"source": s, "target": t, "via": list(dict.fromkeys(v))} for (s, t), v in sorted(via.items())]
-    for side in ("input", "output"):
-        out[f"{side}_tables"] = list(dict.fromkeys(t for r in out["statements"] for t in r[f"{side}_table_names"]))
-    return out
+    """Lineage of all SQL in one script."""
+    return parse_scripts(spark, [(text, source, task_type)], kind, read_file)[0]

@@ -69,7 +69,15 @@ def prepare(sql: str) -> Prepared:
 
 
 def shown(text: str) -> str:
-    """A slice of prepared text as its author wrote it."""
+    """A slice of prepared text as its author wrote it, but for comments, which become a blank."""
+    if "--" in text or "/*" in text:
+        kept: list[str] = []
+        for kind, part, _ in tokens(text):
+            gap = kind == "comment" or kind == "space" and kept[-1:] == [" "]
+            if gap and kept and kept[-1].isspace():
+                kept.pop()
+            kept.append(" " if gap else part)
+        text = "".join(kept)
     return _BARE_WIDE.sub(r"\1", text).strip()
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.bridge import ParseError
-from ..plans.lineage import columns_frame, parse_sql, statements_frame
+from ..plans.lineage import columns_frame, parse_texts, statements_frame
 
 #: Folders that are not looked into.
 IGNORED = (
@@ -59,22 +60,25 @@ class Scan:
         return {"files": self.files, "failed_files": len(self.failures), "empty_files": len(self.empty), "multi_statement_files": len(self.several), "statements": len(self.records), "task_types": kinds} | stats(self.graph())
 
 
+#: Files whose statements go to the parser together.
+TOGETHER = 64
+
+
 def scan_texts(spark: SparkSession, files, extended: bool = False) -> Scan:
     """Parses (path, text) pairs; a file that fails is noted and the scan goes on."""
-    out = Scan(spark)
-    for path, text in files:
-        out.files += 1
-        out.texts[path] = text
-        try:
-            got = parse_sql(spark, text, path, extended)
-        except ParseError as e:
-            out.failures.append({"file": path, "error": str(e)})
-            continue
-        if not got:
-            out.empty.append(path)
-        if len(got) > 1:
-            out.several.append(path)
-        out.records += got
+    out, rest = Scan(spark), iter(files)
+    while some := list(islice(rest, TOGETHER)):
+        out.files += len(some)
+        out.texts |= dict(some)
+        for (path, _), got in zip(some, parse_texts(spark, some, extended), strict=True):
+            if isinstance(got, ParseError):
+                out.failures.append({"file": path, "error": str(got)})
+                continue
+            if not got:
+                out.empty.append(path)
+            if len(got) > 1:
+                out.several.append(path)
+            out.records += got
     return out
 
 

@@ -8,25 +8,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import Glossary
 from ..operators.kb import Store, build_from_scan
-from ..plans.bridge import ParseError
-from ..plans.lineage import parse_sql
-from ..sources.files import Scan
+from ..sources.files import scan_texts
 
 
 def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, glossary: Glossary | None = None) -> StreamingQuery:
     """Upserts the statements of new files. The checkpoint makes each file count once; a batch that is run again writes the
     same rows, as rows of a file replace that file's old ones."""
     stream = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").load(root)
-    named = stream.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("path"), F.col("value").alias("text"))
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    place = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))  # as scan() names it: relative to the folder
+    named = stream.select(F.substring_index(place, full, -1).alias("path"), F.col("value").alias("text"))
 
     def take(batch: DataFrame, _: int) -> None:
-        got = Scan(spark)
-        for r in batch.orderBy("path").toLocalIterator():
-            got.texts[r.path] = r.text
-            try:
-                got.records += parse_sql(spark, r.text, r.path)
-            except ParseError as e:
-                got.failures.append({"file": r.path, "error": str(e)})
+        got = scan_texts(spark, ((r.path, r.text) for r in batch.orderBy("path").toLocalIterator()))
         if got.texts:
             store.upsert(build_from_scan(got, glossary), list(got.texts))
 
