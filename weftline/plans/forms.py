@@ -86,14 +86,15 @@ def q_left_join(s, d):
     return t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@form("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 40) FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 20 AND 60) ON s_suppkey = c_custkey")
+@form("SELECT s_name, o_orderkey, o_totalprice FROM supplier FULL JOIN orders ON s_suppkey = o_custkey AND s_acctbal > o_totalprice / 10")
 def q_full_join(s, d):
-    return t(s, d, "supplier").where("s_suppkey < 40").join(t(s, d, "customer").where("c_custkey between 20 and 60"), F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
+    on = (F.col("s_suppkey") == F.col("o_custkey")) & (F.col("s_acctbal") > F.col("o_totalprice") / 10)
+    return t(s, d, "supplier").join(t(s, d, "orders"), on, "full").select("s_name", "o_orderkey", "o_totalprice")
 
 
-@form("SELECT n_name, r_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 20")
+@form("SELECT s_name, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
 def q_right_join(s, d):
-    return t(s, d, "nation").where("n_nationkey > 20").join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "right").select("n_name", "r_name")
+    return t(s, d, "supplier").join(t(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("s_name", "n_name")
 
 
 @form("SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b")
@@ -241,11 +242,21 @@ def q_percentile(s, d):
 # ---- forms that write: into a table of the session's warehouse, read back
 
 
+_made: list[str] = []
+
+
+def clean(s: SparkSession) -> None:
+    """Drops the tables that this process's queries made. Their results must be read by then."""
+    while _made:
+        s.sql(f"DROP TABLE IF EXISTS {_made.pop()}")
+
+
 def _into(s: SparkSession, name: str, ddl: str, *statements: str) -> DataFrame:
     """A new table, filled by statements that call it {t}; the rows are read into the result's plan from its files."""
     import uuid
 
     table = f"wf_{name}_{uuid.uuid4().hex[:10]}"
+    _made.append(table)
     s.sql(f"CREATE TABLE {table} {ddl}")
     for x in statements:
         s.sql(x.format(t=table))
@@ -259,11 +270,25 @@ def q_insert_static_partition(s, d):
     return _into(s, "static", ddl, "INSERT OVERWRITE TABLE {t} PARTITION (n_regionkey = 1) SELECT n_nationkey, n_name FROM wf_nation", "INSERT OVERWRITE TABLE {t} PARTITION (n_regionkey = 1) SELECT n_nationkey, n_name FROM wf_nation WHERE n_regionkey = 1")
 
 
-@form("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@form("SELECT n_nationkey, CASE WHEN n_regionkey IN (1, 3) THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation")
 def q_insert_dynamic_partition(s, d):
-    t(s, d, "nation").createOrReplaceTempView("wf_nation")
+    """All partitions by INSERT, then two of them anew by a dynamic overwrite, which leaves the others as they are."""
+    n = t(s, d, "nation")
+    n.createOrReplaceTempView("wf_nation")
     ddl = "(n_nationkey INT, n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey)"
-    return _into(s, "dynamic", ddl, "INSERT INTO {t} PARTITION (n_regionkey) SELECT n_nationkey, n_name, n_regionkey FROM wf_nation")
+    _into(s, "dynamic", ddl, "INSERT INTO {t} PARTITION (n_regionkey) SELECT n_nationkey, n_name, n_regionkey FROM wf_nation")
+    again = n.where("n_regionkey in (1, 3)").select(F.col("n_nationkey").cast("int"), F.lower("n_name"), F.col("n_regionkey").cast("int"))
+    again.write.option("partitionOverwriteMode", "dynamic").insertInto(_made[-1], overwrite=True)
+    s.catalog.refreshTable(_made[-1])
+    return s.table(_made[-1])
+
+
+@form("""SELECT doc_id, nullif(unnest(CASE WHEN coalesce(source, '') = 'src1' THEN [''] ELSE string_split(coalesce(source, ''), 'r') END), '') AS part FROM documents""")
+def q_explode_outer(s, d):
+    """LATERAL VIEW OUTER keeps the rows whose array has no element."""
+    t(s, d, "documents").createOrReplaceTempView("wf_documents")
+    return s.sql("""SELECT doc_id, nullif(part, '') AS part FROM wf_documents
+      LATERAL VIEW OUTER explode(CASE WHEN source = 'src1' THEN array() ELSE split(coalesce(source, ''), 'r') END) x AS part""")
 
 
 @form("SELECT r_regionkey, upper(r_name) AS u FROM region")
