@@ -203,6 +203,45 @@ def test_scheduler_client(spark):
         c.task_codes(1, 2)
 
 
+def test_parts_of_a_snapshot(spark):
+    snap = snapshot(spark)
+    whole = workflow.analyze(spark, snap)
+    assert {(r.table, tuple(r.writers), tuple(r.readers)) for r in whole["cross_workflow"].collect()} == {("dwd.b", (1,), (2,))}
+    one = workflow.analyze(spark, snap, project="P", workflow="collect")
+    assert one["stats"]["workflows"] == 1 and one["stats"]["tasks"] == 2 and one["chain"] == ["src.a", "ods.a", "dwd.b", "tmp.c"]
+    assert workflow.analyze(spark, snap, task_types=["shell"])["task_tables"].select("task_code").distinct().count() == 1
+    with pytest.raises(ValueError, match="collect, sum"):
+        workflow.analyze(spark, snap, workflow="nothing")
+
+
+def test_cycles_among_the_issues(spark):
+    from pyspark.sql.types import Row
+
+    tt = spark.createDataFrame([Row(workflow_code=1, task_code=1, table="dws.a", direction="write")])
+    g = graph.Graph.of_pairs(spark.createDataFrame([("dws.a", "dws.b"), ("dws.b", "dws.a")], "source string, target string"))
+    assert [(r.issue, r.table, r.detail) for r in workflow.quality(tt, g=g).where("issue = 'cycle'").collect()] == [("cycle", "dws.a", "dws.a -> dws.b")]
+
+
+def test_questions_to_a_snapshot(spark, tmp_path):
+    snap = snapshot(spark)
+    got = [(r.level, r.workflow, r.tasks, r.upstream, r.downstream) for r in workflow.workflow_list(spark, snap).collect()]
+    assert got == [(0, "collect", 2, [], [2]), (1, "sum", 3, [1], [])]
+    d = workflow.workflow_detail(spark, snap, "coll")
+    assert d["found"] and d["tasks"][1]["writes"] == ["dwd.b", "tmp.c"] and {x["kind"] for x in d["downstream"]} == {"table", "dependent"}
+    assert workflow.workflow_detail(spark, snap, "zzz") == {"found": False, "candidates": ["collect", "sum"]}
+    t = workflow.table_tasks(spark, snap, "b")
+    assert t["table"] == "dwd.b" and ["dwd.b", "ods.a", "src.a"] in t["upstream_paths"] and ["dwd.b", "dws.d", "ads.e"] in t["downstream_paths"] and len(t["tasks"]) == 3
+    up = workflow.table_upstream(spark, snap, "ads.e")
+    assert [x["name"] for x in up["upstream"]][0] == "dws.d" and up["upstream"][0]["tasks"] == [21]
+    for n in ("projects", "workflows", "tasks", "relations"):
+        getattr(snap, n).write.json(str(tmp_path / "s" / n))
+    path = str(tmp_path / "s")
+    assert [cli.main(x, spark) for x in (["ds-workflows", path], ["ds-tables", path, "b"], ["ds-task", path, "sum"], ["ds-upstream", path, "ads.e"], ["ds-tables", path, "nope"])] == [0, 0, 0, 0, 1]
+    (tmp_path / "a.sql").write_text("INSERT INTO dws.x SELECT k FROM dwd.y")
+    assert cli.main(["generate-validate", str(tmp_path / "a.sql"), "--report", str(tmp_path / "r.md")], spark) == 0 and "orphan" in (tmp_path / "r.md").read_text()
+    assert "<svg" in render.workflow_report(workflow.analyze(spark, snap), "w")
+
+
 # ---- generation
 
 
@@ -220,6 +259,67 @@ def test_generate(spark, store):
     assert generate.join_keys(["a", "x_id", "x_code"], ["x_id", "x_code", "a"]) == ["x_code", "x_id", "a"]
 
 
+def test_generate_options(spark, store):
+    made = lambda **kw: generate.generate_sql(store, "dwd.dwd_order_line", ["ods.lineitem", "ods.orders"], ["net_amt"], **kw)
+    one = made()
+    assert any("1 of 6 known columns" in w for w in one.warnings) and any("no common column" in w for w in one.warnings)
+    own = made(joins=[{"table": "ods.orders", "on": "t1.l_orderkey = t2.o_orderkey", "kind": "inner"}])
+    assert "INNER JOIN ods.orders t2 ON t1.l_orderkey = t2.o_orderkey" in own.sql
+    assert len(made(all_columns=True).columns) > len(one.columns)
+    g = fixture_scan(spark).graph()
+    said = generate.generate_sql(store, "ods.lineitem", ["src.lineitem"], ["l_quantity"], partition={"day": "1"}, graph=g).warnings
+    assert "day: ods.lineitem is written by dt" in said
+    assert generate.side_key(["qty", "plant_code"], "dim.dim_plant") == "plant_code" and generate.side_key(["qty"], "dim.dim_plant") is None
+
+
+def test_pipeline_options(store):
+    p = generate.pipeline(store, target="dws.dws_nation_day", max_stages=1)
+    assert p["target"] == "dws.dws_nation_day" and len(p["stages"]) == 1 and any("max_stages" in w for w in p["warnings"]) and "${bizdate}" in p["stages"][0]["sql"]
+    assert {"source": "dwd.dwd_order_line", "target": "dws.dws_nation_day", "kind": "external"} in p["edges"]
+    new = generate.pipeline(store, "生成一张新的月报", target_layer="ads", max_stages=2)
+    assert new["table_mode"] == "new" and new["stages"][-1]["target_table"].startswith("ads.ads_") and any("is new" in w for w in new["warnings"])
+    with pytest.raises(ValueError):
+        generate.pipeline(store)
+
+
+def test_apply_recreates_the_workflow_of_the_same_name():
+    class Fake:
+        def __init__(self):
+            self.made, self.gone, self.n = [], [], 50
+
+        def workflows(self, project):
+            return [{"name": w["name"], "code": c} for c, w in self.made if c not in self.gone]
+
+        def delete_workflow(self, project, code):
+            self.gone.append(code)
+
+        def task_codes(self, project, n):
+            return [self.n + i for i in range(n)]
+
+        def create_workflow(self, project, body):
+            self.n += 100
+            self.made.append((self.n, body))
+            return {"code": self.n}
+
+        def workflow(self, project, code):
+            body = dict(self.made)[code]
+            return {"taskDefinitionList": json.loads(body["taskDefinitionJson"]), "processTaskRelationList": json.loads(body["taskRelationJson"])}
+
+    client = Fake()
+    stages = [{"name": "a", "sql": "SELECT 1", "depends_on": []}, {"name": "b", "sql": "SELECT 2", "depends_on": ["a"]}]
+    first = generate.apply_plan(stages, "w", client=client, project=1)
+    again = generate.apply_plan(stages, "w", client=client, project=1)
+    assert first["workflow_code"] != again["workflow_code"] and client.gone == [first["workflow_code"]] and "deleted the old workflow" in again["notes"][0]
+    assert again["readback"] == {"tasks": 2, "relations": 2} and json.loads(again["definition"]["taskRelationJson"])[0] == {"preTaskCode": 150, "postTaskCode": 151}
+
+
+def test_validation_of_sql_files(spark):
+    stages = generate.stages_of("-- external: ods.y\nINSERT INTO dwd.x SELECT k FROM ods.y; INSERT INTO ads.z SELECT k FROM dwd.x", "f.sql")
+    ok, issues = generate.validate(spark, stages)
+    page = generate.issues_markdown(ok, issues)
+    assert [s["name"] for s in stages] == ["f.sql:1", "f.sql:2"] and not ok and "| error | layer_rule | 1 |" in page and "dwd.x -> ads.z" in page
+
+
 def test_what_the_graph_says(spark):
     g = fixture_scan(spark).graph()
     assert generate.main_upstream(g, "dws.dws_nation_day") == "dwd.dwd_order_line" and generate.partition_field(g, "ods.lineitem") == "dt" and generate.main_upstream(g, "src.lineitem") is None

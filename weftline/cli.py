@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     add("path", arg("graph"), arg("source"), arg("target"), arg("--max-paths", type=int, default=10), arg("--max-length", type=int, default=12))
     add("cycle", arg("graph"))
     add("stats", arg("graph"))
-    add("viz", arg("graph"), arg("--highlight"), arg("--direction", default="LR"), arg("--html", action="store_true"))
+    add("viz", arg("graph"), arg("--highlight"), arg("--direction", default="LR"), arg("--depth", type=int), arg("--group-layers", action="store_true"), arg("--html", action="store_true"))
     add("parse-script", arg("file"), arg("--kind"), arg("--task-type"), arg("--resolve-files", action="store_true"))
     add("kb-build", arg("store"), arg("roots", nargs="+"), arg("--glossary"), arg("--incremental", action="store_true"))
     add("kb-summary", arg("store"))
@@ -36,9 +36,16 @@ def parser() -> argparse.ArgumentParser:
         add(n, arg("store"), arg("--table"), arg("--limit", type=int, default=50))
     add("kb-export", arg("store"), arg("--markdown", action="store_true"))
     add("ds-sync", arg("base"), arg("out"), arg("--user", default=""), arg("--password", default=""), arg("--project", action="append"))
-    add("ds-analyze", arg("snapshot"))
-    add("generate-sql", arg("store"), arg("target"), arg("--source", action="append", required=True), arg("--metric", action="append", default=[]), arg("--group-by", action="append", default=[]))
-    add("generate-pipeline", arg("store"), arg("request"), arg("--max-stages", type=int, default=6), arg("--validate", action="store_true"))
+    add("ds-analyze", arg("snapshot"), arg("--project"), arg("--workflow"), arg("--task-type", action="append"))
+    add("ds-workflows", arg("snapshot"))
+    add("ds-tables", arg("snapshot"), arg("table"), arg("--limit", type=int, default=20))
+    add("ds-task", arg("snapshot"), arg("workflow"), arg("--limit", type=int, default=30))
+    add("ds-upstream", arg("snapshot"), arg("table"), arg("--depth", type=int))
+    add("generate-sql", arg("store"), arg("target"), arg("--source", action="append", required=True), arg("--metric", action="append", default=[]), arg("--group-by", action="append", default=[]),
+        arg("--join", action="append", default=[], help="table:condition"), arg("--all-columns", action="store_true"))
+    add("generate-pipeline", arg("store"), arg("request"), arg("--max-stages", type=int, default=6), arg("--validate", action="store_true"), arg("--target"), arg("--target-layer"), arg("--out"))
+    add("generate-apply", arg("plan"), arg("workflow"), arg("--base"), arg("--user", default=""), arg("--password", default=""), arg("--project", type=int))
+    add("generate-validate", arg("files", nargs="+"), arg("--store"), arg("--report"))
     add("serve", arg("--kb"), arg("--graph"), arg("--port", type=int, default=8080))
     return p
 
@@ -89,7 +96,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             show(graph.stats(graph.load(spark, a.graph)))
         elif c == "viz":
             g = graph.load(spark, a.graph)
-            print(render.graph_page([(r.source, r.target) for r in g.edges.select("source", "target").collect()]) if a.html else graph.mermaid(g, a.highlight, a.direction))
+            print(render.graph_page([(r.source, r.target) for r in g.edges.select("source", "target").collect()]) if a.html else graph.mermaid(g, a.highlight, a.direction, a.depth, a.group_layers))
         elif c == "parse-script":
             import os
 
@@ -133,27 +140,61 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             for n in ("projects", "workflows", "tasks", "relations"):
                 getattr(snap, n).write.mode("overwrite").json(f"{a.out}/{n}")
         elif c == "ds-analyze":
-            got = workflow.analyze(spark, workflow.read_snapshot(spark, a.snapshot))
-            show({"stats": got["stats"], "chain": got["chain"], "quality": rows(got["quality"])})
+            got = workflow.analyze(spark, workflow.read_snapshot(spark, a.snapshot), project=a.project, workflow=a.workflow, task_types=a.task_type)
+            show({"stats": got["stats"], "chain": got["chain"], "quality": rows(got["quality"]), "cross_workflow": rows(got["cross_workflow"])})
+        elif c == "ds-workflows":
+            got = rows(workflow.workflow_list(spark, workflow.read_snapshot(spark, a.snapshot)))
+            show(got)
+            return int(not got)
+        elif c == "ds-tables":
+            got = workflow.table_tasks(spark, workflow.read_snapshot(spark, a.snapshot), a.table, a.limit)
+            show(got)
+            return int(not got["found"])
+        elif c == "ds-task":
+            got = workflow.workflow_detail(spark, workflow.read_snapshot(spark, a.snapshot), a.workflow, a.limit)
+            show(got)
+            return int(not got["found"])
+        elif c == "ds-upstream":
+            got = workflow.table_upstream(spark, workflow.read_snapshot(spark, a.snapshot), a.table, a.depth)
+            show(got)
+            return int(not got["found"])
         elif c == "generate-sql":
-            g = generate.generate_sql(Store(spark, a.store), a.target, a.source, a.metric, a.group_by)
+            joins = [dict(zip(("table", "on"), j.split(":", 1), strict=True)) for j in a.join]
+            g = generate.generate_sql(Store(spark, a.store), a.target, a.source, a.metric, a.group_by, joins=joins, all_columns=a.all_columns)
             print(g.sql)
             for w in g.warnings:
                 print("warning:", w, file=sys.stderr)
         elif c == "generate-pipeline":
             store = Store(spark, a.store)
-            got = generate.pipeline(store, a.request, a.max_stages)
+            got = generate.pipeline(store, a.request, a.max_stages, a.target, a.target_layer)
+            if a.out:
+                with open(a.out, "w", encoding="utf-8") as f:
+                    json.dump(got, f, ensure_ascii=False)
             show(got)
             if a.validate:
                 ok, issues = generate.validate(spark, got["stages"], store)
                 show(rows(issues))
                 return int(not ok)
             return int(not got["found"])
+        elif c == "generate-apply":
+            with open(a.plan, encoding="utf-8") as f:
+                stages = json.load(f)["stages"]
+            client = scheduler.Client(a.base, a.user, a.password) if a.base else None
+            show(generate.apply_plan(stages, a.workflow, client=client, project=a.project))
+        elif c == "generate-validate":
+            stages = [x for f in a.files for x in generate.stages_of(open(f, encoding="utf-8", errors="replace").read(), f)]
+            ok, issues = generate.validate(spark, stages, Store(spark, a.store) if a.store else None)
+            page = generate.issues_markdown(ok, issues)
+            if a.report:
+                with open(a.report, "w", encoding="utf-8") as f:
+                    f.write(page)
+            print(page)
+            return int(not ok)
         elif c == "serve":
             from .service import Service, serve
 
             serve(Service(spark, a.kb, a.graph), port=a.port).serve_forever()
-    except (ParseError, ValueError, OSError) as e:
+    except (ParseError, ValueError, OSError, scheduler.SchedulerError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

@@ -253,13 +253,14 @@ class Store:
         return top.join(files, KEYS[name]).select(*new.columns)
 
     def fingerprint(self) -> str:
-        """The same for the same contents, in whatever order rows lie."""
+        """The same for the same contents, in whatever order rows lie: of each table the count of its rows and the sums of four
+        parts of their hashes, so rows are never gathered."""
         parts = []
         for name in TABLES:
             t = self.table(name)
-            js = F.to_json(F.struct(*sorted(t.columns)))
-            h = t.select(F.sha2(js.cast("binary"), 256).alias("h"))
-            parts.append(f"{name}:{h.agg(F.sha2(F.concat_ws(',', F.sort_array(F.collect_list('h'))).cast('binary'), 256)).first()[0]}")
+            h = t.select(F.sha2(F.to_json(F.struct(*sorted(t.columns))).cast("binary"), 256).alias("h"))
+            part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+            parts.append(f"{name}:{':'.join(map(str, h.agg(F.count('*'), *map(part, range(4))).first()))}")
         import hashlib
 
         return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]

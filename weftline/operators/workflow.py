@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph, _kept, cycles, depths, paths
-from .scripts import parse_script
+from .scripts import parse_scripts
 
 #: Task parameters that hold scripts, schemas whose tables may lie open at an end.
 SCRIPT_KEYS = frozenset("sql rawscript script hivesql statement statements query".split())
@@ -96,19 +97,29 @@ def normalize_script(text: str) -> str:
     return s
 
 
-def task_tables(spark: SparkSession, tasks: DataFrame) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """((workflow_code, task_code, table, direction), errors, statement records) of all tasks' scripts.
+#: Scripts whose statements go to the parser together.
+TOGETHER = 128
+
+
+def task_tables(spark: SparkSession, tasks: DataFrame, task_types: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """((workflow_code, task_code, table, direction), errors, statement records) of the scripts of all tasks, or of tasks of
+    some types (in any case).
 
     Parsing is the driver's; what is read are the tasks' parameters, one partition at a time.
     """
+    if task_types is not None:
+        tasks = tasks.where(F.upper("task_type").isin([x.upper() for x in task_types]))
     rows, errors, records = [], [], []
-    for t in tasks.select("workflow_code", "code", "task_type", "task_params").toLocalIterator():
-        for key, text in scripts_of(t.task_params):
-            got = parse_script(spark, text, f"{t.workflow_code}/{t.code}/{key}", task_type=t.task_type)
-            errors += [(t.workflow_code, t.code, e["error"]) for e in got["errors"]]
+    own = (
+        ((t.workflow_code, t.code), text, f"{t.workflow_code}/{t.code}/{key}", t.task_type)
+        for t in tasks.select("workflow_code", "code", "task_type", "task_params").toLocalIterator() for key, text in scripts_of(t.task_params)
+    )
+    while some := list(islice(own, TOGETHER)):
+        for (task, *_), got in zip(some, parse_scripts(spark, [x[1:] for x in some]), strict=True):
+            errors += [(*task, e["error"]) for e in got["errors"]]
             records += got["statements"]
-            rows += [(t.workflow_code, t.code, x, "read") for x in got["input_tables"]] + [(t.workflow_code, t.code, x, "write") for x in got["output_tables"]]
-    return spark.createDataFrame(rows, "workflow_code long, task_code long, table string, direction string").distinct(), spark.createDataFrame(errors, "workflow_code long, task_code long, error string"), records
+            rows += [(*task, x, "read") for x in got["input_tables"]] + [(*task, x, "write") for x in got["output_tables"]]
+    return spark.createDataFrame(sorted(set(rows)), "workflow_code long, task_code long, table string, direction string"), spark.createDataFrame(errors, "workflow_code long, task_code long, error string"), records
 
 
 def table_index(tt: DataFrame) -> DataFrame:
@@ -149,23 +160,37 @@ def workflow_levels(workflows: DataFrame, deps: DataFrame) -> DataFrame:
     return depths(g).select(F.col("name").cast("long").alias("code"), F.col("depth").alias("level"))
 
 
-def quality(tt: DataFrame, known_metrics: DataFrame | None = None) -> DataFrame:
-    """(issue, table): dangling (written, never read), orphan (read, never written), and written tables without a metric."""
+def quality(tt: DataFrame, known_metrics: DataFrame | None = None, g: Graph | None = None) -> DataFrame:
+    """(issue, table, detail): dangling (written, never read), orphan (read, never written), cross_workflow (read in other
+    workflows than those that write it; detail names both), written tables without a metric, and cycles (detail is the
+    way around) of the graph ``g``."""
     w = tt.where("direction = 'write'").select("table").distinct()
     r = tt.where("direction = 'read'").select("table").distinct()
     schema = F.when(F.instr("table", ".") > 0, F.lower(F.regexp_extract("table", r"^([^.]*)\.", 1))).otherwise("")
-    out = w.join(r, "table", "left_anti").where(~schema.isin(*OPEN_ENDS)).select(F.lit("dangling").alias("issue"), "table")
-    out = out.unionByName(r.join(w, "table", "left_anti").where(~schema.isin(*OPEN_STARTS)).select(F.lit("orphan").alias("issue"), "table"))
+    issue = lambda df, name, detail=None: df.select(F.lit(name).alias("issue"), "table", F.lit(detail).cast("string").alias("detail") if detail is None else detail.alias("detail"))
+    out = issue(w.join(r, "table", "left_anti").where(~schema.isin(*OPEN_ENDS)), "dangling").unionByName(issue(r.join(w, "table", "left_anti").where(~schema.isin(*OPEN_STARTS)), "orphan"))
     if known_metrics is not None:
-        out = out.unionByName(w.join(known_metrics.select(F.col("table_name").alias("table")).distinct(), "table", "left_anti").select(F.lit("missing_knowledge").alias("issue"), "table"))
+        out = out.unionByName(issue(w.join(known_metrics.select(F.col("table_name").alias("table")).distinct(), "table", "left_anti"), "missing_knowledge"))
+    if g is not None:
+        out = out.unionByName(issue(cycles(g).select(F.col("component").alias("table"), F.array_join("nodes", " -> ").alias("d")), "cycle", F.col("d")))
     return out
 
 
+def cross_workflow(tt: DataFrame) -> DataFrame:
+    """(table, writers, readers): tables that a workflow writes and another one, which does not write them, reads."""
+    w = tt.where("direction = 'write'").select("table", F.col("workflow_code").alias("w")).distinct()
+    r = tt.where("direction = 'read'").select("table", F.col("workflow_code").alias("r")).distinct()
+    r = r.join(w.withColumnRenamed("w", "r"), ["table", "r"], "left_anti")
+    side = lambda c: F.array_sort(F.collect_set(c))
+    return w.groupBy("table").agg(side("w").alias("writers")).join(r.groupBy("table").agg(side("r").alias("readers")), "table")
+
+
 def longest_chain(g: Graph, limit: int = MAX_CHAIN) -> list[str]:
     """The longest way through an acyclic graph; of equal ones the one that starts in a source layer, then by name."""
+    if (pairs := g.pairs()) is not None:
+        return _longest_small(g, [(a, b) for a, b in pairs if a != b], limit)
     e = _kept(g.edges.select("source", "target").where("source <> target").distinct())
-    start = F.when(F.col("layer").isin("src", "ods"), 0).when(F.col("layer") == "dim", 2).otherwise(1)
-    best = _kept(g.nodes.select("name", F.array("name").alias("path"), start.alias("r")))
+    best = _kept(g.nodes.select("name", F.array("name").alias("path"), _start().alias("r")))
     for _ in range(limit - 1):
         new = best.join(e, best["name"] == e["source"]).where(~F.array_contains("path", F.col("target"))).select(F.col("target").alias("name"), F.concat("path", F.array("target")).alias("path"), "r")
         order = F.struct((-F.size("path")).alias("n"), "r", "path")
@@ -177,6 +202,33 @@ def longest_chain(g: Graph, limit: int = MAX_CHAIN) -> list[str]:
     return got.path if got else []
 
 
+def _start():
+    return F.when(F.col("layer").isin("src", "ods"), 0).when(F.col("layer") == "dim", 2).otherwise(1)
+
+
+def _longest_small(g: Graph, pairs: list[tuple[str, str]], limit: int) -> list[str]:
+    """The same for a small graph: rounds in which only nodes whose best way has just changed are followed."""
+    near: dict[str, list[str]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    best = {r.name: (-1, r.r, (r.name,)) for r in g.nodes.select("name", _start().alias("r")).collect()}
+    changed = set(best)
+    for _ in range(limit - 1):
+        found: dict[str, tuple] = {}
+        for a in changed:
+            n, r, path = best[a]
+            for b in near.get(a, ()):
+                if b not in path:
+                    way = (n - 1, r, (*path, b))
+                    if way < found.get(b, best[b]):
+                        found[b] = way
+        best |= found
+        changed = set(found)
+        if not changed:
+            break
+    return list(min(best.values())[2]) if best else []
+
+
 def stitch(g: Graph, table: str, chain: list[str], most: int = 12) -> list[str]:
     """A chain with the longest way above its first table, dimension tables left out."""
     from ..functions.columns import table_layer
@@ -187,26 +239,118 @@ def stitch(g: Graph, table: str, chain: list[str], most: int = 12) -> list[str]:
     return [*above, *chain][-most:] if len(above) + len(chain) > most else [*above, *chain]
 
 
-def analyze(spark: SparkSession, snap: Snapshot, metrics: DataFrame | None = None) -> dict:
-    """Tasks, merged edges, dependencies, longest chain, quality and counts of a whole snapshot."""
+def scoped(snap: Snapshot, project: str | None = None, workflow: str | int | None = None) -> Snapshot:
+    """The part of a snapshot in one project (by name) and of one workflow (by name or code)."""
+    flows, projects = snap.workflows, snap.projects
+    if project is not None:
+        projects = projects.where(F.lower("name") == project.strip().lower())
+        flows = flows.join(projects.select(F.col("code").alias("project_code")), "project_code", "left_semi").select(*flows.columns)
+    if workflow is not None:
+        flows = flows.where((F.col("code").cast("string") == str(workflow)) | (F.lower("name") == str(workflow).strip().lower()))
+    own = flows.select(F.col("code").alias("workflow_code"))
+    keep = lambda df: df.join(own, "workflow_code", "left_semi").select(*df.columns)
+    return Snapshot(projects, flows, keep(snap.tasks), keep(snap.relations))
+
+
+def analyze(spark: SparkSession, snap: Snapshot, metrics: DataFrame | None = None, project: str | None = None, workflow: str | int | None = None, task_types: list[str] | None = None) -> dict:
+    """Tasks, merged edges, dependencies, longest chain, quality and counts of a snapshot or of the part of it that a
+    project, a workflow and the tasks' types name. A name that fits no workflow raises ValueError with those there are."""
     from ..plans.lineage import edges_frame, statements_frame
 
-    tt, errors, records = task_tables(spark, snap.tasks)
-    tt = _kept(tt)
-    g = Graph.of_pairs(_kept(edges_frame(statements_frame(spark, records)).select("source", "target")))
+    whole = snap
+    if project is not None or workflow is not None:
+        snap = scoped(snap, project, workflow)
+        if not snap.workflows.limit(1).count():
+            names = [r.name for r in whole.workflows.select("name").distinct().orderBy("name").limit(20).collect()]
+            raise ValueError(f"no workflow {workflow or ''} in {project or 'any project'}; there are {', '.join(names)}")
+    tt, errors, records = task_tables(spark, snap.tasks, task_types)
+    g = Graph.of_pairs(edges_frame(statements_frame(spark, records)).select("source", "target"))
     deps = workflow_dependencies(tt, native_dependencies(spark, snap.tasks))
-    loops = cycles(g).limit(5)
-    chain = longest_chain(g)
     n = tt.agg(F.count_distinct("table").alias("tables"), F.count_if(F.col("direction") == "read").alias("reads"), F.count_if(F.col("direction") == "write").alias("writes")).first()
+    pairs = g.pairs()
     return {
-        "task_tables": tt, "errors": errors, "records": records, "graph": g, "task_edges": task_edges(tt), "dependencies": deps, "levels": workflow_levels(snap.workflows, deps), "index": table_index(tt), "chain": chain,
-        "quality": quality(tt, metrics), "cycles": loops, "stats": {"projects": snap.projects.count(), "workflows": snap.workflows.count(), "tasks": snap.tasks.count(), "relations": snap.relations.count(), "tables": n.tables, "reads": n.reads, "writes": n.writes, "parse_errors": errors.count(), "edges": g.edges.count()},
+        "task_tables": tt, "errors": errors, "records": records, "graph": g, "task_edges": task_edges(tt), "dependencies": deps, "levels": workflow_levels(snap.workflows, deps), "index": table_index(tt), "chain": longest_chain(g),
+        "quality": quality(tt, metrics, g), "cross_workflow": cross_workflow(tt), "cycles": cycles(g).limit(5),
+        "stats": {"projects": snap.projects.count(), "workflows": snap.workflows.count(), "tasks": snap.tasks.count(), "relations": snap.relations.count(), "tables": n.tables, "reads": n.reads, "writes": n.writes, "parse_errors": errors.count(), "edges": len(pairs) if pairs is not None else g.edges.count()},
     }
 
 
 # ---- questions to a snapshot
 
 
+def matching(names: DataFrame, name: str) -> DataFrame:
+    """Rows of (code, name, ...) by code, by name in any case, else by the only name that holds the text."""
+    low, key = F.lower("name"), name.strip().lower()
+    rank = F.when(F.col("code").cast("string") == key, 0).when(low == key, 1).when(low.contains(key), 2)
+    found = names.withColumn("rank", rank).where("rank is not null")
+    best = found.agg(F.min("rank").alias("r"), F.count_if(F.col("rank") == 2).alias("n")).first()
+    return found.where((F.col("rank") == F.lit(best.r)) & (F.lit(best.r) < 2) | F.lit(best.r == 2 and best.n == 1)).drop("rank")
+
+
+def workflow_list(spark: SparkSession, snap: Snapshot) -> DataFrame:
+    """(level, project, workflow, code, tasks, reads, writes, upstream, downstream) of all workflows; those in a cycle, and those
+    behind it, come on the levels after it."""
+    tt, _, _ = task_tables(spark, snap.tasks)
+    deps = workflow_dependencies(tt, native_dependencies(spark, snap.tasks))
+    level = workflow_levels(snap.workflows, deps)
+    side = lambda d: tt.where(F.col("direction") == d).groupBy(F.col("workflow_code").alias("code")).agg(F.count_distinct("table").alias(f"{d}s"))
+    ends = lambda a, b, n: deps.select(F.col(a).alias("code"), F.col(b).alias("o")).groupBy("code").agg(F.array_sort(F.collect_set("o")).alias(n))
+    x = snap.workflows.select("code", F.col("name").alias("workflow"), "project_code").join(snap.projects.select(F.col("code").alias("project_code"), F.col("name").alias("project")), "project_code", "left")
+    n = snap.tasks.groupBy(F.col("workflow_code").alias("code")).agg(F.count("*").alias("tasks"))
+    for other in (level, n, side("read"), side("write"), ends("target", "source", "upstream"), ends("source", "target", "downstream")):
+        x = x.join(other, "code", "left")
+    none = F.array().cast("array<bigint>")
+    return x.select("level", "project", "workflow", "code", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tasks", "reads", "writes")], *[F.coalesce(c, none).alias(c) for c in ("upstream", "downstream")]).orderBy("level", "project", "workflow", "code")
+
+
+def workflow_detail(spark: SparkSession, snap: Snapshot, name: str, limit: int = 30) -> dict:
+    """What each task of a workflow reads and writes, and the workflows before and behind it; candidates where no single
+    workflow is meant."""
+    one = matching(snap.workflows, name).collect()
+    if len(one) != 1:
+        return {"found": False, "candidates": [r.name for r in snap.workflows.where(F.lower("name").contains(name.strip().lower()) | F.lit(not one)).select("name").distinct().orderBy("name").limit(20).collect()]}
+    code = one[0].code
+    tt, errors, _ = task_tables(spark, snap.tasks)
+    deps = workflow_dependencies(tt, native_dependencies(spark, snap.tasks))
+    side = lambda d: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.col("table")))).alias(f"{d}s")
+    per = tt.where(F.col("workflow_code") == code).groupBy(F.col("task_code").alias("code")).agg(side("read"), side("write"))
+    none = F.array().cast("array<string>")
+    tasks = snap.tasks.where(F.col("workflow_code") == code).select("code", "name", "task_type").join(per, "code", "left").select("code", "name", "task_type", F.coalesce("reads", none).alias("reads"), F.coalesce("writes", none).alias("writes")).orderBy("code")
+    near = lambda a, b: [r.asDict() for r in deps.where(F.col(a) == code).select(F.col(b).alias("workflow"), "kind", "via_tables").orderBy("workflow", "kind").collect()]
+    return {
+        "found": True, "workflow": one[0].name, "code": code, "tasks": [r.asDict() for r in tasks.limit(limit).collect()], "task_count": tasks.count(),
+        "upstream": near("target", "source"), "downstream": near("source", "target"), "errors": [r.error for r in errors.where(F.col("workflow_code") == code).collect()],
+    }
+
+
+def table_tasks(spark: SparkSession, snap: Snapshot, table: str, limit: int = 20) -> dict:
+    """The tasks that read and write a table, and the ways of tables that lead to it and away from it."""
+    from ..plans.lineage import edges_frame, statements_frame
+    from .graph import candidates, resolve
+
+    tt, _, records = task_tables(spark, snap.tasks)
+    g = Graph.of_pairs(edges_frame(statements_frame(spark, records)))
+    name = resolve(g, table)
+    if name is None:
+        return {"found": False, "candidates": sorted(r.name for r in candidates(g, table).collect())}
+    hits = [r.asDict() for r in tasks_of_table(snap, tt, name).orderBy("direction", "project", "workflow", "task").limit(limit).collect()]
+    way = lambda up: [r.path for r in paths(g, name, up=up, max_paths=limit).collect()]
+    return {"found": True, "table": name, "tasks": hits, "upstream_paths": way(True), "downstream_paths": way(False)}
+
+
+def table_upstream(spark: SparkSession, snap: Snapshot, table: str, depth: int | None = None) -> dict:
+    """All tables above one, by level, with the tasks that write each."""
+    from ..plans.lineage import edges_frame, statements_frame
+    from .graph import candidates, resolve
+
+    tt, _, records = task_tables(spark, snap.tasks)
+    g = Graph.of_pairs(edges_frame(statements_frame(spark, records)))
+    name = resolve(g, table)
+    if name is None:
+        return {"found": False, "candidates": sorted(r.name for r in candidates(g, table).collect())}
+    return {"found": True, "table": name, "upstream": [r.asDict() for r in annotated(g, tt, name, True, depth).orderBy("level", "name").collect()]}
+
+
 def tasks_of_table(snap: Snapshot, tt: DataFrame, table: str) -> DataFrame:
     """(project, workflow, task, direction) of the tasks that read or write a table; the name may lack its schema."""
     low, key = F.lower("table"), table.strip().lower()

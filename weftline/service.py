@@ -15,6 +15,12 @@ from .plans.lineage import ParseError, aggregate, parse_sql
 from .sources import render
 
 MAX_COLUMNS = 200
+#: A page that sends a route and its JSON and shows the answer.
+APP = """<!doctype html><meta charset="utf-8"><title>weftline</title><style>body{font-family:sans-serif;max-width:60em;margin:2em auto}textarea{width:100%;height:10em}pre{background:#f4f4f4;padding:1em;overflow:auto}</style>
+<h1>weftline</h1><select id="r"><option>parse<option>analyze<option>impact<option>upstream<option>kb/search<option>kb/ask<option>generate/sql<option>generate/pipeline</select>
+<textarea id="t">{"sql": "INSERT INTO dws.a SELECT x FROM dwd.b"}</textarea><button id="b">send</button><pre id="o"></pre>
+<script>document.getElementById("b").onclick=async()=>{const a=await fetch("/"+document.getElementById("r").value,{method:"POST",body:document.getElementById("t").value});
+document.getElementById("o").textContent=JSON.stringify(await a.json(),null,2)}</script>"""
 
 
 class Service:
@@ -25,7 +31,7 @@ class Service:
         self.routes = {
             "parse": self.parse, "analyze": self.analyze, "analyze-workflow": self.analyze_workflow, "report": self.report, "impact": lambda p: self.reach(p, False), "upstream": lambda p: self.reach(p, True),
             "kb/summary": lambda p: {"summary": self._kb().summary()}, "kb/metric": lambda p: {"rows": self._rows(self._kb().get_metric(p["name"]))}, "kb/search": self.kb_search, "kb/ask": lambda p: search.answer(self._kb(), p.get("question", "")),
-            "generate/sql": self.gen_sql, "generate/pipeline": lambda p: generate.pipeline(self._kb(), p["request"], int(p.get("max_stages", 6))), "generate/apply": lambda p: generate.apply_plan(p["stages"], p.get("name", "pipeline")), "generate/validate": self.gen_validate,
+            "generate/sql": self.gen_sql, "generate/pipeline": lambda p: generate.pipeline(self._kb(), p.get("request", ""), int(p.get("max_stages", 6)), p.get("target"), p.get("target_layer")), "generate/apply": lambda p: generate.apply_plan(p["stages"], p.get("name", "pipeline")), "generate/validate": self.gen_validate,
             "health": lambda p: {"status": "ok"}, "reports": lambda p: {"reports": render.list_reports(self.reports)},
         }
 
@@ -69,8 +75,9 @@ class Service:
         return {"report": self.analyze(p | {"report": True})["report"]}
 
     def analyze_workflow(self, p: dict) -> dict:
-        got = workflow.analyze(self.spark, workflow.read_snapshot(self.spark, p["snapshot"]), self.store.table("metrics") if self.store else None)
-        return {"stats": got["stats"], "chain": got["chain"], "quality": self._rows(got["quality"]), "dependencies": self._rows(got["dependencies"]), "task_edges": self._rows(got["task_edges"])}
+        got = workflow.analyze(self.spark, workflow.read_snapshot(self.spark, p["snapshot"]), self.store.table("metrics") if self.store else None, p.get("project"), p.get("workflow"), p.get("task_types"))
+        page = {"report": render.save_report(render.workflow_report(got, p.get("title", "Workflows")), self.reports)} if p.get("report") else {}
+        return page | {"cross_workflow": self._rows(got["cross_workflow"]), "stats": got["stats"], "chain": got["chain"], "quality": self._rows(got["quality"]), "dependencies": self._rows(got["dependencies"]), "task_edges": self._rows(got["task_edges"])}
 
     def reach(self, p: dict, up: bool) -> dict:
         path = p.get("graph") or self.graph_path
@@ -82,7 +89,7 @@ class Service:
         return {"rows": self._rows(search.search(self._kb(), p["query"], kinds, int(p.get("limit", 10))).orderBy("kind", "rank"))}
 
     def gen_sql(self, p: dict) -> dict:
-        g = generate.generate_sql(self._kb(), p["target"], p["sources"], p.get("metrics", []), p.get("group_by", []), p.get("partition"), p.get("where", []))
+        g = generate.generate_sql(self._kb(), p["target"], p["sources"], p.get("metrics", []), p.get("group_by", []), p.get("partition"), p.get("where", []), p.get("joins", []), bool(p.get("all_columns")))
         return {"sql": g.sql, "warnings": g.warnings, "columns": [c.__dict__ for c in g.columns]}
 
     def gen_validate(self, p: dict) -> dict:
@@ -102,8 +109,18 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 8080) -> Thread
             self.end_headers()
             self.wfile.write(raw)
 
+        def _page(self, text: str) -> None:
+            raw = text.encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
         def do_GET(self):
             u = urlparse(self.path)
+            if u.path.rstrip("/") == "/app":
+                return self._page(APP)
             payload = {k: v[0] for k, v in parse_qs(u.query).items()}
             if u.path.startswith("/report/"):
                 return self._send(*service.handle("report", payload | {"id": u.path.split("/")[-1]}))

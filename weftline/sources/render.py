@@ -62,6 +62,20 @@ def report(records: list[dict], title: str, metrics: list[dict] = ()) -> str:
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{border:1px solid #ccc;padding:2px 6px}}table{{border-collapse:collapse}}</style>" + "".join(parts)
 
 
+def workflow_report(found: dict, title: str) -> str:
+    """A page of a workflow analysis: counts, the longest chain, dependencies, what each task reads and writes, issues."""
+    show = lambda df, cols, order: _table(cols, [[", ".join(map(str, r[c])) if isinstance(r[c], list) else r[c] for c in cols] for r in df.select(*cols).orderBy(*order).limit(MAX_ROWS).collect()])
+    g = found["graph"].pairs()
+    parts = [
+        f"<h1>{html.escape(title)}</h1>" + _table(list(found["stats"]), [list(found["stats"].values())]), "<h2>Longest chain</h2><p>" + html.escape(" → ".join(found["chain"])) + "</p>",
+        "<h2>Dependencies of workflows</h2>" + show(found["dependencies"], ["source", "target", "kind", "via_tables"], ["source", "target", "kind"]),
+        "<h2>Tasks and tables</h2>" + show(found["task_tables"], ["workflow_code", "task_code", "table", "direction"], ["workflow_code", "task_code", "direction", "table"]),
+        "<h2>Between workflows</h2>" + show(found["cross_workflow"], ["table", "writers", "readers"], ["table"]), "<h2>Issues</h2>" + show(found["quality"], ["issue", "table", "detail"], ["issue", "table"]),
+        "<h2>Graph</h2>" + svg(g if g is not None else []),
+    ]
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{border:1px solid #ccc;padding:2px 6px}}table{{border-collapse:collapse}}</style>" + "".join(parts)
+
+
 def save_report(page: str, folder: str) -> str:
     """Writes a page and returns its id; the oldest beyond KEEP go."""
     os.makedirs(folder, exist_ok=True)
@@ -98,9 +112,11 @@ def kb_markdown(store: Store, limit: int = 500) -> str:
     s = store.summary()
 
     def table(df, cols):
-        rows = df.select(*cols).limit(limit).collect()
+        rows = df.select(*cols).limit(limit + 1).collect()
+        more = df.count() - limit if len(rows) > limit else 0
+        rows = rows[:limit]
         cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
-        return "\n".join(["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *["| " + " | ".join(cell(r[c]) for c in cols) + " |" for r in rows]])
+        return "\n".join(["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *["| " + " | ".join(cell(r[c]) for c in cols) + " |" for r in rows], *([f"\n{more} more rows are not shown."] if more else [])])
 
     m, f, t = store.table("metrics"), store.table("fields"), store.table("tables")
     parts = [

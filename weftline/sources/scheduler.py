@@ -68,6 +68,29 @@ class Client:
     def delete_workflow(self, project: int, code: int):
         return self.call("DELETE", f"projects/{project}/process-definition/{code}")
 
+    def create_project(self, name: str, description: str = "") -> dict:
+        return self.call("POST", "projects", projectName=name, description=description)
+
+    def delete_project(self, project: int):
+        return self.call("DELETE", f"projects/{project}")
+
+    def datasources(self) -> list[dict]:
+        return list(self.paged("datasources"))
+
+    def create_datasource(self, definition: dict) -> dict:
+        """``definition`` as the scheduler asks for it: name, type, host, port, database, userName, password."""
+        return self.call("POST", "datasources", **definition)
+
+    def delete_datasource(self, datasource: int):
+        return self.call("DELETE", f"datasources/{datasource}")
+
+    def save_single_task(self, project: int, workflow: int, task: dict, upstream: list[int] = ()) -> dict:
+        """Adds one task to a workflow, behind the tasks ``upstream``."""
+        return self.call(
+            "POST", f"projects/{project}/task-definition/save-single", processDefinitionCode=workflow,
+            taskDefinitionJsonObj=json.dumps(task, ensure_ascii=False), upstreamCodes=",".join(map(str, upstream)) or None,
+        )
+
     def task_codes(self, project: int, n: int) -> list[int]:
         return self.call("GET", f"projects/{project}/task-definition/gen-task-codes", genNum=n)
 
