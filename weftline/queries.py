@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import samples
 from .functions import columns as C
 from .functions.names import Glossary
-from .operators import generate, graph, kb, scripts, search, workflow
+from .operators import generate, graph, scripts, search, workflow
 from .operators.graph import Graph
 from .plans.forms import FORMS, t
-from .plans.lineage import edges_frame
+from .plans.lineage import edges_frame, statements_frame
 from .sources.files import Scan, scan_texts
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -110,12 +112,12 @@ _PATHS = "p AS (SELECT [{a}] AS path, {a} AS last UNION ALL SELECT list_append(p
 _LAST = "(SELECT name FROM (SELECT name, min(level) AS level FROM l GROUP BY name) ORDER BY level DESC, name DESC LIMIT 1)"
 
 
-@query(f"WITH RECURSIVE {EDGES}, l AS (SELECT {START} AS name, 0 AS level UNION SELECT target, level + 1 FROM l JOIN e ON l.name = source WHERE level < 30), " + _PATHS.format(a=START, n=6)
+@query(f"WITH RECURSIVE {EDGES}, l AS (SELECT {START} AS name, 0 AS level UNION SELECT target, level + 1 FROM l JOIN e ON l.name = source WHERE level < 30), " + _PATHS.format(a=START, n=graph.MAX_LENGTH)
        + f" SELECT array_to_string(path, ' > ') AS path, len(path)::INT AS n_nodes FROM p WHERE last = {_LAST} AND len(path) > 1 ORDER BY len(path), path LIMIT 20")
 def g_paths_between(s, d):
     g = nation_graph(s, d)
     a = first_source(g)
-    return graph.paths_between(g, a, last_node(g, a), 20, 6).select(F.array_join("path", " > ").alias("path"), "n_nodes")
+    return graph.paths_between(g, a, last_node(g, a)).select(F.array_join("path", " > ").alias("path"), "n_nodes")
 
 
 @query(f"WITH RECURSIVE {EDGES}, " + _PATHS.format(a=START, n=4) + """ SELECT array_to_string(path, ' > ') AS path, (len(path) - 1)::INT AS hops FROM p WHERE len(path) > 1
@@ -141,10 +143,9 @@ def g_depths(s, d):
     return graph.depths(tree_graph(s, d))
 
 
-@query(f"WITH RECURSIVE {TREE}, l AS (SELECT DISTINCT source AS name, 0 AS level FROM e WHERE source NOT IN (SELECT target FROM e) AND source NOT LIKE 'c%' UNION ALL SELECT target, level + 1 FROM l JOIN e ON l.name = source WHERE target NOT LIKE 'o%') SELECT name, max(level)::INT AS level FROM l GROUP BY name")
+@query(f"WITH RECURSIVE {TREE}, l AS (SELECT DISTINCT source AS name, 0 AS level FROM e WHERE source NOT IN (SELECT target FROM e) UNION ALL SELECT target, level + 1 FROM l JOIN e ON l.name = source) SELECT name, max(level)::INT AS level FROM l GROUP BY name")
 def g_topological_levels(s, d):
-    g = tree_graph(s, d)
-    return graph.topological_levels(graph.subgraph(g, g.nodes.where("name not like 'o%'")))
+    return graph.topological_levels(tree_graph(s, d))
 
 
 @query(f"WITH RECURSIVE {EDGES}, " + f"l AS (SELECT {START} AS name, 0 AS level UNION SELECT target, level + 1 FROM l JOIN e ON l.name = source WHERE level < 2) SELECT source, target FROM e WHERE source IN (SELECT name FROM l) AND target IN (SELECT name FROM l)")
@@ -221,7 +222,7 @@ def f_split_identifier(s, d):
     return t(s, d, "part").select("p_partkey", F.array_join(C.split_identifier(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"))), " ").alias("parts"))
 
 
-# ---- lineage of the fixture warehouse (the SQL holds results worked out by hand)
+# ---- the small warehouse of files that comes with the repository
 
 
 def fixture_files(folder: str = "warehouse") -> list[tuple[str, str]]:
@@ -243,217 +244,217 @@ def values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
 
 
-EDGE_ROWS = [
-    ("src.lineitem", "ods.lineitem"), ("src.orders", "ods.orders"), ("src.customer", "ods.customer"), ("src.nation", "dim.nation"), ("src.region", "dim.nation"),
-    ("ods.lineitem", "dwd.dwd_order_line"), ("ods.orders", "dwd.dwd_order_line"), ("dwd.dwd_order_line", "dws.dws_nation_day"), ("ods.customer", "dws.dws_nation_day"), ("dim.nation", "dws.dws_nation_day"),
-    ("dwd.dwd_order_line", "dws.dws_cust"), ("ods.customer", "dws.dws_cust"), ("dws.dws_nation_day", "ads.ads_board"), ("dws.dws_cust", "ads.ads_board"), ("tmp.loop_b", "tmp.loop_a"), ("tmp.loop_a", "tmp.loop_b"),
-]
-_E = f"e AS ({values(EDGE_ROWS, 'source, target')})"
+@query(values([(9, 1, 11, 2)], "ok_files, failed, statements, several"))
+def l_scan_summary(s, d):
+    x = fixture_scan(s)
+    return s.createDataFrame([(x.files - len(x.failures), len(x.failures), len(x.records), len(x.several))], "ok_files int, failed int, statements int, several int")
 
 
-@query(values(EDGE_ROWS, "source, target"))
-def l_table_edges(s, d):
-    return edges_frame(fixture_scan(s).statements()).select("source", "target").distinct()
+@query(values([("cust_key", "dwd.dwd_order_line", "cust_key"), ("cust_key", "ods.customer", "c_custkey"), ("cust_amt", "dwd.dwd_order_line", "net_amt"), ("cust_amt", None, "(常量)"), ("rn", "dwd.dwd_order_line", "is_big"), ("rn", "dwd.dwd_order_line", "net_amt"), ("rn", None, "(常量)")], "target_column, source_table, source_column"))
+def l_columns_union(s, d):
+    return fixture_scan(s).columns().where("target_table = 'dws.dws_cust'").select("target_column", "source_table", "source_column").distinct()
 
 
-@query(values([("01_ods_lineitem.sql", 1, "INSERT_SELECT"), ("02_ods_orders.sql", 1, "INSERT_SELECT"), ("02_ods_orders.sql", 2, "INSERT_SELECT"), ("03_dim_nation.sql", 1, "CTAS"), ("04_dwd_order_line.sql", 1, "INSERT_SELECT"), ("05_dws_nation_day.sql", 1, "INSERT_SELECT"),
-               ("06_dws_cust.sql", 1, "INSERT_SELECT"), ("07_ads_board.sql", 1, "INSERT_SELECT"), ("08_adhoc.sql", 1, "SELECT"), ("issues/01_cycle.sql", 1, "INSERT_SELECT"), ("issues/01_cycle.sql", 2, "INSERT_SELECT")], "source, statement_index, task_type"))
-def l_statements(s, d):
-    return fixture_scan(s).statements().select("source", "statement_index", "task_type")
+GLOSSARY = Glossary(columns={"total_qty": "总数量", "qty": "数量", "net_amt": "净额"}, tables={"ads.ads_board": "经营看板"}, tokens={"cust": "客户", "amt": "金额", "order": "订单", "date": "日期", "key": "键"})
 
 
-COLUMN_ROWS = [
-    ("order_key", "ods.lineitem", "l_orderkey", True), ("cust_key", "ods.orders", "o_custkey", True), ("order_date", "ods.orders", "o_orderdate", True), ("qty", "ods.lineitem", "l_quantity", True),
-    ("net_amt", "ods.lineitem", "l_extendedprice", True), ("net_amt", "ods.lineitem", "l_discount", True), ("is_big", "ods.lineitem", "l_quantity", True),
-]
+# ---- lineage of scripts that are made out of the tables; the SQL puts the expected rows together from the same tables
 
+_N = f"WITH {samples.NATIONS}"
 
-@query(values(COLUMN_ROWS, "target_column, source_table, source_column, resolved"))
-def l_columns(s, d):
-    return fixture_scan(s).columns().where("file = '04_dwd_order_line.sql'").select("target_column", "source_table", "source_column", "resolved")
 
+@query(f"{_N}, {samples.EDGES} SELECT source, target FROM e")
+def l_table_edges(s, d):
+    return edges_frame(samples.warehouse(s, d).statements()).select("source", "target").distinct()
 
-@query(values([("cust_key", "dwd.dwd_order_line", "cust_key"), ("cust_key", "ods.customer", "c_custkey"), ("cust_amt", "dwd.dwd_order_line", "net_amt"), ("cust_amt", None, "(常量)"), ("rn", "dwd.dwd_order_line", "is_big"), ("rn", "dwd.dwd_order_line", "net_amt"), ("rn", None, "(常量)")], "target_column, source_table, source_column"))
-def l_columns_union(s, d):
-    return fixture_scan(s).columns().where("file = '06_dws_cust.sql'").select("target_column", "source_table", "source_column").distinct()
+
+@query(f"{_N} SELECT {samples.FILE} AS source, unnest([1, 2, 3]) AS statement_index, unnest(['INSERT_SELECT', 'INSERT_SELECT', 'CTAS']) AS task_type FROM n")
+def l_statements(s, d):
+    return samples.warehouse(s, d).statements().select("source", "statement_index", "task_type")
 
 
-@query(values([("01_ods_lineitem.sql", "l_quantity IS NOT NULL"), ("04_dwd_order_line.sql", "o_orderstatus <> 'P'"), ("04_dwd_order_line.sql", "l.dt = '2026-01-01'"), ("05_dws_nation_day.sql", "SUM(t.qty) > 0"), ("08_adhoc.sql", "b.total_amt > 10")], "source, condition"))
+@query(f"{_N}, {samples.COLUMNS} SELECT source AS file, statement_index, tt AS target_table, tc AS target_column, st AS source_table, sc AS source_column, ex AS expression, true AS resolved FROM c")
+def l_columns(s, d):
+    return samples.warehouse(s, d).columns().select("file", "statement_index", "target_table", "target_column", "source_table", "source_column", "expression", "resolved")
+
+
+@query(f"{_N}, {samples.FILTERS} SELECT source, i AS statement_index, condition FROM f")
 def l_filters(s, d):
-    return fixture_scan(s).statements().select("source", F.explode("filters").alias("condition"))
+    return samples.warehouse(s, d).statements().select("source", "statement_index", F.explode("filters").alias("condition"))
 
 
-@query(values([("01_ods_lineitem.sql", "dt", "2026-01-01"), ("04_dwd_order_line.sql", "dt", "2026-01-01")], "source, k, v"))
+@query(f"{_N} SELECT {samples.FILE} AS source, 'dt' AS k, dt AS v FROM n")
 def l_partition_filters(s, d):
-    return fixture_scan(s).statements().select("source", F.explode("partition_filters").alias("k", "v")).select("source", "k", F.array_join("v", ",").alias("v"))
+    x = samples.warehouse(s, d).statements().select("source", F.explode("partition_filters").alias("k", "v"))
+    return x.select("source", "k", F.array_join("v", ",").alias("v"))
 
 
-@query(values([("03_dim_nation.sql", "INNER JOIN", "src.nation", "src.region", "n.n_regionkey = r.r_regionkey"), ("04_dwd_order_line.sql", "INNER JOIN", "ods.lineitem", "valid", "l.l_orderkey = v.o_orderkey"),
-               ("05_dws_nation_day.sql", "LEFT JOIN", "dwd.dwd_order_line", "ods.customer", "t.cust_key = c.c_custkey"), ("05_dws_nation_day.sql", "LEFT JOIN", "dwd.dwd_order_line", "dim.nation", "c.c_nationkey = d.n_nationkey"),
-               ("07_ads_board.sql", "INNER JOIN", "dws.dws_nation_day", "dws.dws_cust", "n.cust_cnt = x.rn")], "source, kind, a, b, cond"))
+@query(f"{_N}, {samples.JOINS} SELECT source, kind, a, b, cond FROM j")
 def l_joins(s, d):
-    j = fixture_scan(s).statements().select("source", F.explode("joins").alias("j")).select("source", F.col("j.type").alias("kind"), F.col("j.left").alias("a"), F.col("j.right").alias("b"), F.col("j.on").alias("cond"))
-    return j.withColumn("b", F.when(F.col("b") == "v", "valid").otherwise(F.col("b")))
+    j = samples.warehouse(s, d).statements().select("source", F.explode("joins").alias("j"))
+    return j.select("source", F.col("j.type").alias("kind"), F.col("j.left").alias("a"), F.col("j.right").alias("b"), F.col("j.on").alias("cond"))
 
 
-@query(f"WITH RECURSIVE {_E}, l AS (SELECT 'src.lineitem' AS name, 0 AS level UNION SELECT target, level + 1 FROM l JOIN e ON name = source WHERE level < 20) SELECT name, min(level)::INT AS level FROM l GROUP BY name HAVING min(level) > 0")
+@query(f"WITH RECURSIVE {samples.NATIONS}, {samples.EDGES}, l AS (SELECT 'ods.r1_line' AS name, 0 AS level UNION SELECT target, level + 1 FROM l JOIN e ON name = source WHERE level < 20) SELECT name, min(level)::INT AS level FROM l GROUP BY name HAVING min(level) > 0")
 def l_impact(s, d):
-    return graph.levels(fixture_scan(s).graph(), "src.lineitem")
+    return graph.levels(samples.warehouse(s, d).graph(), "ods.r1_line")
 
 
-@query(f"WITH {_E}, n AS (SELECT source AS name FROM e UNION SELECT target FROM e) SELECT {_LAYER_SQL.format(n='name')} AS layer, string_agg(name, ',' ORDER BY name) AS tables FROM n GROUP BY 1")
+@query(f"{_N}, {samples.EDGES}, x AS (SELECT source AS name FROM e UNION SELECT target FROM e) SELECT {_LAYER_SQL.format(n='name')} AS layer, string_agg(name, ',' ORDER BY name) AS tables FROM x GROUP BY 1")
 def l_tables_by_layer(s, d):
-    return graph.tables_by_layer(fixture_scan(s).graph()).withColumn("tables", F.array_join("tables", ","))
+    return graph.tables_by_layer(samples.warehouse(s, d).graph()).withColumn("tables", F.array_join("tables", ","))
 
 
-@query(f"WITH {_E} SELECT source AS name, count(*) AS ref_count FROM (SELECT * FROM e UNION ALL SELECT 'ads.ads_board', '') GROUP BY source UNION ALL SELECT DISTINCT target, 0 FROM e WHERE target NOT IN (SELECT source FROM e UNION ALL SELECT 'ads.ads_board')")
+@query(f"""{_N}, u AS (SELECT unnest(['ods.r' || r || '_line', 'ods.r' || r || '_order', 'dwd.dwd_' || nat, 'dim.cust', 'dws.dws_r' || r]) AS name FROM n)
+ SELECT name, count(*) AS ref_count FROM u GROUP BY name UNION ALL SELECT 'ads.ads_' || nat, 0 FROM n""")
 def l_ref_counts(s, d):
-    return fixture_scan(s).graph().nodes.select("name", "ref_count")
+    return samples.warehouse(s, d).graph().nodes.select("name", "ref_count")
 
 
-@query(values([(8, 1, 11, 2)], "ok_files, failed, statements, several").replace("(8,", "(9,"))
-def l_scan_summary(s, d):
-    x = fixture_scan(s)
-    return s.createDataFrame([(x.files - len(x.failures), len(x.failures), len(x.records), len(x.several))], "ok_files int, failed int, statements int, several int")
+@query(f"""{_N}, {samples.COLUMNS} SELECT st AS source, tt AS target, count(*) AS column_mappings, string_agg(DISTINCT statement_index || ':' || source, ',' ORDER BY statement_index || ':' || source) AS made_by FROM c GROUP BY st, tt
+ UNION ALL SELECT 'ods.r' || r || '_order', 'dwd.dwd_' || nat, 0, '1:' || {samples.FILE} FROM n UNION ALL SELECT 'dim.cust', 'dws.dws_r' || r, 0, string_agg('2:' || {samples.FILE}, ',' ORDER BY '2:' || {samples.FILE}) FROM n GROUP BY r""")
+def l_edge_details(s, d):
+    made = F.array_join(F.array_sort(F.transform("statements", lambda x: F.concat_ws(":", x["statement_index"].cast("string"), x["file"]))), ",")
+    return samples.warehouse(s, d).graph().edges.select("source", "target", F.col("column_mappings").cast("long").alias("column_mappings"), made.alias("made_by"))
 
 
-@query()
+@query(f"{_N} {samples.SCRIPTS}")
 def s_extract_scripts(s, d):
-    rows = [(p, text, None) for p, text in fixture_files("scripts")]
-    return scripts.extract_frame(s.createDataFrame(rows, "path string, text string, task_type string"))
+    return scripts.extract_frame(samples.scripts_of(s, d)).select("path", "kind", "seq", "sql", "line", "resolved")
 
 
 # ---- knowledge base
 
-GLOSSARY = Glossary(columns={"total_qty": "总数量", "qty": "数量", "net_amt": "净额"}, tables={"ads.ads_board": "经营看板"}, tokens={"cust": "客户", "amt": "金额", "order": "订单", "date": "日期", "key": "键"})
-
-
-def fixture_kb(s: SparkSession) -> dict[str, DataFrame]:
-    return kb.build_from_scan(fixture_scan(s), GLOSSARY)
 
-
-@query(values([("net_amt", "dwd.dwd_order_line", "算术计算", "净额 = l_extendedprice * (1 - l_discount)"), ("is_big", "dwd.dwd_order_line", "条件分支", "大单标志 = CASE WHEN 数量 > 25 THEN 1 ELSE 0 END"), ("total_qty", "dws.dws_nation_day", "聚合", "总数量 = SUM(数量)"), ("total_amt", "dws.dws_nation_day", "聚合", "总净额 = SUM(净额)"),
-               ("unit_price", "dws.dws_nation_day", "比率", "均价 = 净额 / 数量"), ("cust_cnt", "dws.dws_nation_day", "聚合", "客户 = COUNT(DISTINCT 客户键)"), ("cust_amt", "dws.dws_cust", "聚合", "客户金额 = 净额 - 0"), ("rn", "dws.dws_cust", "窗口函数", "rn = ROW_NUMBER()OVER(PARTITION BY 大单标志 ORDER BY 净额 DESC)")], "metric_name, table_name, metric_type, formula")
-       .replace("净额 = l_extendedprice * (1 - l_discount)", "净额 = 原价 * (1 - 折扣率)"))
+@query(f"{_N}, {samples.METRICS} SELECT metric_name, table_name, source_file, metric_type, label, formula FROM m")
 def k_metrics(s, d):
-    return fixture_kb(s)["metrics"].select("metric_name", "table_name", "metric_type", F.regexp_replace("formula", r" *([()]) *", "$1").alias("formula")).withColumn("formula", F.regexp_replace("formula", r"\*\(", "* (")).withColumn("formula", F.regexp_replace("formula", r"(\w)COUNT", "$1 COUNT"))
+    return samples.knowledge(s, d)["metrics"].select("metric_name", "table_name", "source_file", "metric_type", F.col("chinese_name").alias("label"), "formula")
 
 
-@query(values([("过滤规则", 5), ("分区规则", 2), ("关联规则", 5), ("业务规则（注释）", 1)], "rule_type, n"))
+@query(f"""{_N}, {samples.FILTERS}, {samples.JOINS}
+ SELECT '过滤规则' AS rule_type, tt AS table_name, condition AS expression, CASE WHEN contains(condition, 'dt =') THEN '时点/分区过滤：' ELSE '过滤条件：' END || condition AS description, source AS source_file FROM f
+ UNION ALL SELECT '分区规则', 'dwd.dwd_' || nat, 'dt = ''' || dt || '''', '分区/时点条件：dt = ' || dt, {samples.FILE} FROM n
+ UNION ALL SELECT '关联规则', tt, cond, a || ' ' || kind || ' ' || b || ' ON ' || cond, source FROM j
+ UNION ALL SELECT '业务规则（注释）', NULL, 'WHERE b.status = ''' || seg || '''', '仅统计' || nat, {samples.FILE} FROM n""")
 def k_rules(s, d):
-    return fixture_kb(s)["rules"].groupBy("rule_type").agg(F.count("*").cast("int").alias("n"))
+    return samples.knowledge(s, d)["rules"].select("rule_type", "table_name", "expression", "description", "source_file")
 
 
-@query(values([("dwd.dwd_order_line", "qty", "数量", "comment", 0.9, "件"), ("dwd.dwd_order_line", "net_amt", "净额", "comment", 0.9, "元"), ("dwd.dwd_order_line", "is_big", "大单标志", "comment", 0.9, None), ("dwd.dwd_order_line", "cust_key", "客户键", "rule", 0.7, None), ("dwd.dwd_order_line", "order_key", "订单键", "rule", 0.7, None), ("dwd.dwd_order_line", "order_date", "订单日期", "rule", 0.7, None)], "table_name, column_name, chinese_name, chinese_source, confidence, unit")
-       .replace("'0.9'", "0.9::DOUBLE").replace("'0.7'", "0.7::DOUBLE"))
+@query(f"{_N}, {samples.FIELDS} SELECT * FROM d")
 def k_fields(s, d):
-    x = fixture_kb(s)["fields"].where("table_name = 'dwd.dwd_order_line'")
-    both = x.where("chinese_source <> 'exact_glossary'").select("table_name", "column_name", "chinese_name", "chinese_source", "confidence", "unit")
-    gloss = x.where("chinese_source = 'exact_glossary'").select("table_name", "column_name", "chinese_name", F.lit("comment").alias("chinese_source"), F.lit(0.9).alias("confidence"), "unit")
-    return both.unionByName(gloss)
+    return samples.knowledge(s, d)["fields"].select("table_name", "column_name", "chinese_name", "chinese_source", F.round(F.col("confidence") * 100).cast("int").alias("percent"), "unit")
 
 
-@query()
+@query(f"""{_N}, {samples.FIELDS}, x AS (SELECT column_name AS term, chinese_name, 'field' AS category, chinese_source AS source, percent, table_name AS tab, 1 AS n FROM d
+  UNION ALL SELECT 'total_net', '净额合计', 'field', 'builtin', 100, NULL, 0 UNION ALL SELECT 'dim.cust', '客户', 'table', 'builtin', 100, NULL, 0 UNION ALL SELECT 'dim.cust', '客户', 'table', 'exact_glossary', 90, 'dim.cust', 1)
+ SELECT term, first(chinese_name ORDER BY percent DESC, chinese_name IS NULL, chinese_name, category, source) AS chinese_name, first(source ORDER BY percent DESC, chinese_name IS NULL, chinese_name, category, source) AS source,
+ max(percent) AS percent, coalesce(string_agg(DISTINCT tab, ',' ORDER BY tab), '') AS tables, sum(n)::INT AS occurrences FROM x GROUP BY term""")
 def k_terms(s, d):
-    return fixture_kb(s)["terms"].withColumn("tables", F.array_join("tables", ","))
+    return samples.knowledge(s, d)["terms"].select("term", "chinese_name", "source", F.round(F.col("confidence") * 100).cast("int").alias("percent"), F.array_join("tables", ",").alias("tables"), "occurrences")
+
 
+_SCORE = "CASE WHEN {x} = '净额' THEN 100.0 WHEN starts_with({x}, '净额') THEN 82.0 WHEN contains({x}, '净额') THEN 65.0 ELSE 0.0 END"
 
-@query()
+
+@query(f"""{_N}, {samples.FIELDS}, {samples.METRICS}
+ SELECT 'fields' AS kind, column_name AS name, table_name, round(greatest({_SCORE.format(x='chinese_name')} * 1.3, 0.0), 1)::DOUBLE AS score FROM d WHERE contains(chinese_name, '净额')
+ UNION ALL SELECT 'metrics', metric_name, table_name, round(greatest({_SCORE.format(x='label')} * 1.3, {_SCORE.format(x='formula')}), 1)::DOUBLE FROM m WHERE contains(formula, '净额')""")
 def k_search(s, d):
-    found = None
-    for k, df in fixture_kb(s).items():
-        if k in search.KINDS:
-            x = search.search_one(df, k, "净额")
-            found = x if found is None else found.unionByName(x)
-    return found
+    known = samples.knowledge(s, d)
+    found = search.search_one(known["fields"], "fields", "净额").unionByName(search.search_one(known["metrics"], "metrics", "净额"))
+    return found.select("kind", "name", "table_name", "score")
 
 
-# ---- workflows (the SQL computes from the tasks' tables)
+# ---- workflows (the SQL computes from the tasks' tables, which it puts together from the nations)
 
 TASKS = [(1, 11, "SQL", "INSERT INTO ods.a SELECT x FROM src.a"), (1, 12, "SHELL", 'hive -e "INSERT INTO dwd.b SELECT x FROM ods.a; INSERT INTO tmp.c SELECT x FROM dwd.b"'), (2, 21, "SQL", "INSERT INTO dws.d SELECT x FROM dwd.b JOIN zz.q USING (x)"), (2, 22, "SQL", "INSERT INTO ads.e SELECT x FROM dws.d")]
-TASK_TABLES = [(1, 11, "src.a", "read"), (1, 11, "ods.a", "write"), (1, 12, "ods.a", "read"), (1, 12, "dwd.b", "read"), (1, 12, "dwd.b", "write"), (1, 12, "tmp.c", "write"), (2, 21, "dwd.b", "read"), (2, 21, "zz.q", "read"), (2, 21, "dws.d", "write"), (2, 22, "dws.d", "read"), (2, 22, "ads.e", "write")]
-_T = f"tt AS ({values(TASK_TABLES, 'w, k, tab, dir')})"
+_T = samples.TASK_TABLES
 
 
 def snapshot(s: SparkSession) -> workflow.Snapshot:
-    import json
-
+    """A fixed snapshot of two workflows."""
     make = s.createDataFrame
     ts = [(w, k, f"t{k}", kind, json.dumps({"rawScript" if kind == "SHELL" else "sql": text})) for w, k, kind, text in TASKS]
     ts.append((2, 23, "wait", "DEPENDENT", json.dumps({"dependence": {"dependTaskList": [{"dependItemList": [{"definitionCode": 1}]}]}})))
     return workflow.Snapshot(make([(9, "p")], "code long, name string"), make([(9, 1, "collect"), (9, 2, "sum")], "project_code long, code long, name string"), make(ts, "workflow_code long, code long, name string, task_type string, task_params string"), make([(1, 0, 11), (1, 11, 12), (2, 0, 21), (2, 21, 22)], "workflow_code long, pre_task_code long, post_task_code long"))
 
 
-def fixture_tables(s):
-    return workflow.task_tables(s, snapshot(s).tasks)[0]
+def task_tables(s, d):
+    return workflow.task_tables(s, samples.snapshot(s, d).tasks)[0]
 
 
 @query(f"WITH {_T} SELECT w::BIGINT AS workflow_code, k::BIGINT AS task_code, tab AS \"table\", dir AS direction FROM tt")
 def w_task_tables(s, d):
-    return fixture_tables(s)
+    return task_tables(s, d)
 
 
 @query(f"WITH {_T} SELECT a.w::BIGINT AS workflow_code, a.k::BIGINT AS producer, b.k::BIGINT AS consumer, string_agg(DISTINCT a.tab, ',' ORDER BY a.tab) AS via FROM tt a JOIN tt b ON a.w = b.w AND a.tab = b.tab AND a.dir = 'write' AND b.dir = 'read' AND a.k <> b.k GROUP BY ALL")
 def w_task_edges(s, d):
-    return workflow.task_edges(fixture_tables(s)).select("workflow_code", "producer", "consumer", F.array_join("via_tables", ",").alias("via"))
+    return workflow.task_edges(task_tables(s, d)).select("workflow_code", "producer", "consumer", F.array_join("via_tables", ",").alias("via"))
 
 
 @query(f"""WITH {_T} SELECT a.w::BIGINT AS source, b.w::BIGINT AS target, 'table' AS kind, string_agg(DISTINCT a.tab, ',' ORDER BY a.tab) AS via FROM tt a JOIN tt b ON a.tab = b.tab AND a.dir = 'write' AND b.dir = 'read' AND a.w <> b.w
- WHERE NOT EXISTS (SELECT 1 FROM tt c WHERE c.w = b.w AND c.tab = a.tab AND c.dir = 'write') GROUP BY ALL UNION ALL SELECT 1, 2, 'dependent', ''""")
+ WHERE NOT EXISTS (SELECT 1 FROM tt c WHERE c.w = b.w AND c.tab = a.tab AND c.dir = 'write') GROUP BY ALL UNION ALL SELECT b + 1, r + 1, 'dependent', '' FROM p WHERE b IS NOT NULL""")
 def w_dependencies(s, d):
-    x = snapshot(s)
-    return workflow.workflow_dependencies(fixture_tables(s), workflow.native_dependencies(s, x.tasks)).select("source", "target", "kind", F.array_join("via_tables", ",").alias("via"))
+    tasks = samples.snapshot(s, d).tasks
+    deps = workflow.workflow_dependencies(workflow.task_tables(s, tasks)[0], workflow.native_dependencies(s, tasks))
+    return deps.select("source", "target", "kind", F.array_join("via_tables", ",").alias("via"))
 
 
 @query(f"""WITH {_T} SELECT 'dangling' AS issue, tab AS "table" FROM (SELECT DISTINCT tab FROM tt WHERE dir = 'write' EXCEPT SELECT tab FROM tt WHERE dir = 'read') WHERE split_part(tab, '.', 1) NOT IN ('ads', 'app', 'rpt', 'report')
  UNION ALL SELECT 'orphan', tab FROM (SELECT DISTINCT tab FROM tt WHERE dir = 'read' EXCEPT SELECT tab FROM tt WHERE dir = 'write') WHERE split_part(tab, '.', 1) NOT IN ('src', 'ods', 'dim', 'ext', 'stage')""")
 def w_quality(s, d):
-    return workflow.quality(fixture_tables(s))
+    return workflow.quality(task_tables(s, d)).select("issue", "table")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::INT), (2, 1)) v(code, level)")
+@query(f"WITH {_T} SELECT (r + 1)::BIGINT AS code, (row_number() OVER (ORDER BY r) - 1)::INT AS level FROM p")
 def w_levels(s, d):
-    x = snapshot(s)
-    return workflow.workflow_levels(x.workflows, workflow.workflow_dependencies(fixture_tables(s)))
+    x = samples.snapshot(s, d)
+    return workflow.workflow_levels(x.workflows, workflow.workflow_dependencies(workflow.task_tables(s, x.tasks)[0]))
 
 
 @query(f"WITH {_T} SELECT tab AS \"table\", count(DISTINCT k) FILTER (dir = 'write')::INT AS in_degree, count(DISTINCT k) FILTER (dir = 'read')::INT AS out_degree FROM tt GROUP BY tab")
 def w_table_index(s, d):
-    return workflow.table_index(fixture_tables(s)).select("table", "in_degree", "out_degree")
+    return workflow.table_index(task_tables(s, d)).select("table", "in_degree", "out_degree")
 
 
-@query(values([(1, "src.a"), (2, "ods.a"), (3, "dwd.b"), (4, "dws.d"), (5, "ads.e")], "pos, name"))
+@query(f"""WITH {_T}, x AS (SELECT r, min('dws.n' || k) AS a FROM n GROUP BY r), y AS (SELECT r, unnest([a, 'dws.reg' || r]) AS name, unnest([0, 1]) AS o FROM x UNION ALL SELECT min(r), 'src.reg' || min(r), -1 FROM x UNION ALL SELECT max(r), 'tmp.log' || max(r), 2 FROM x)
+ SELECT row_number() OVER (ORDER BY r, o)::INT AS pos, name FROM y""")
 def w_longest_chain(s, d):
-    return s.createDataFrame([(i, n) for i, n in enumerate(workflow.analyze(s, snapshot(s))["chain"], 1)], "pos int, name string")
+    return s.createDataFrame([(i, n) for i, n in enumerate(workflow.analyze(s, samples.snapshot(s, d))["chain"], 1)], "pos int, name string")
 
 
-@query(f"WITH {_T} SELECT 'p' AS project, CASE w WHEN 1 THEN 'collect' ELSE 'sum' END AS workflow, 't' || k AS task, dir AS direction FROM tt WHERE tab = 'dwd.b'")
+@query(f"WITH {_T} SELECT 'p' AS project, 'region' || (w - 1) AS workflow, CASE WHEN k < 2000 THEN 't' || (k - 1000) ELSE 'gather' || (k - 2000) END AS task, dir AS direction FROM tt WHERE tab = 'dws.reg1'")
 def w_tasks_of_table(s, d):
-    return workflow.tasks_of_table(snapshot(s), fixture_tables(s), "b").select("project", "workflow", "task", "direction")
+    x = samples.snapshot(s, d)
+    return workflow.tasks_of_table(x, workflow.task_tables(s, x.tasks)[0], "reg1").select("project", "workflow", "task", "direction")
 
 
-@query(f"WITH {_T} SELECT CASE w WHEN 1 THEN 'collect' ELSE 'sum' END AS workflow, CASE w WHEN 1 THEN 2 ELSE 3 END::BIGINT AS tasks, string_agg(DISTINCT tab, ',' ORDER BY tab) AS written FROM tt WHERE dir = 'write' GROUP BY w")
+@query(f"WITH {_T}, x AS (SELECT n.r, count(*) + 1 + (any_value(b) IS NOT NULL)::INT AS tasks FROM n JOIN p ON n.r = p.r GROUP BY n.r) SELECT 'region' || r AS workflow, tasks::BIGINT AS tasks, string_agg(DISTINCT tab, ',' ORDER BY tab) AS written FROM x JOIN tt ON w = r + 1 WHERE dir = 'write' GROUP BY r, tasks")
 def w_project_detail(s, d):
-    return workflow.project_detail(snapshot(s), fixture_tables(s), "P").withColumn("written", F.array_join("written", ","))
+    x = samples.snapshot(s, d)
+    return workflow.project_detail(x, workflow.task_tables(s, x.tasks)[0], "P").withColumn("written", F.array_join("written", ","))
 
 
 @query(f"WITH {_T} SELECT a.w::BIGINT AS workflow_code, a.tab AS \"table\" FROM tt a JOIN tt b ON a.w = b.w AND a.tab = b.tab AND a.dir = 'write' AND b.dir = 'read' GROUP BY ALL")
 def w_internal_tables(s, d):
-    return workflow.table_dependencies(fixture_tables(s))
+    return workflow.table_dependencies(task_tables(s, d))
 
 
-@query(values([("dws.d", 1, "21"), ("dwd.b", 2, "12"), ("zz.q", 2, ""), ("ods.a", 3, "11"), ("src.a", 4, "")], "name, level, tasks"))
+@query(f"""WITH RECURSIVE {_T}, e AS (SELECT DISTINCT a.tab AS source, b.tab AS target FROM tt a JOIN tt b ON a.k = b.k AND a.dir = 'read' AND b.dir = 'write' WHERE a.tab <> b.tab AND NOT (b.tab LIKE 'tmp.%' AND a.tab NOT LIKE 'dws.reg%')),
+ top AS (SELECT 'dws.reg' || max(r) AS name FROM p), l AS (SELECT name, 0 AS level FROM top UNION SELECT source, level + 1 FROM l JOIN e ON name = target WHERE level < 20)
+ SELECT x.name, x.level, coalesce(string_agg(DISTINCT tt.k::VARCHAR, ',' ORDER BY tt.k::VARCHAR), '') AS tasks FROM (SELECT name, min(level)::INT AS level FROM l GROUP BY name HAVING min(level) > 0) x LEFT JOIN tt ON tt.tab = x.name AND tt.dir = 'write' GROUP BY ALL""")
 def w_annotated_upstream(s, d):
-    tt, _, records = workflow.task_tables(s, snapshot(s).tasks)
-    from .plans.lineage import statements_frame
-
+    tt, _, records = workflow.task_tables(s, samples.snapshot(s, d).tasks)
     g = Graph.of_pairs(edges_frame(statements_frame(s, records)))
-    return workflow.annotated(g, tt, "ads.e").withColumn("tasks", F.array_join(F.transform("tasks", lambda x: x.cast("string")), ","))
+    top = t(s, d, "nation").agg(F.max("n_regionkey")).first()[0]
+    return workflow.annotated(g, tt, f"dws.reg{top}").withColumn("tasks", F.array_join(F.transform("tasks", lambda x: x.cast("string")), ","))
 
 
-@query(f"WITH {_T} SELECT w::BIGINT AS workflow_code, k::BIGINT AS task_code, (2 * count(*) FILTER (tab = 'dwd.b'))::BIGINT AS n_metrics FROM tt WHERE dir = 'write' GROUP BY ALL")
+@query(f"WITH {_T}, m AS (SELECT lower(s_name) AS x, 'dws.n' || s_nationkey AS tab FROM supplier) SELECT w::BIGINT AS workflow_code, k::BIGINT AS task_code, count(x)::BIGINT AS n_metrics FROM tt LEFT JOIN m ON m.tab = tt.tab WHERE dir = 'write' GROUP BY ALL")
 def w_attributed_metrics(s, d):
-    return workflow.attribute_metrics(fixture_tables(s), s.createDataFrame([("DWD.b", "m1"), ("dwd.B", "m2"), ("x.y", "m3")], "table_name string, metric_name string"))
+    known = t(s, d, "supplier").select(F.concat(F.lit("DWS.N"), F.col("s_nationkey").cast("string")).alias("table_name"), F.col("s_name").alias("metric_name"))
+    return workflow.attribute_metrics(task_tables(s, d), known)
 
 
 # ---- validation
