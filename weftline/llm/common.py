@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship  # noqa: F401
+from ..runtime import shared_dir, ship  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,14 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, a folder for single-machine tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/weftline"
-    return found.rstrip("/")
-
-
 _made: list[str] = []
 
 
@@ -67,30 +60,77 @@ class Scratch:
         _delete(self.spark, path)
 
 
+#: Links of a task that are cut to a spanning forest; links of one node that are joined apart from the others.
+TASK_LINKS, HUB = 1_000_000, 200_000
+
+
+def _forest(batches):
+    """Of all links (u, v) of a task, u with the smallest node that u reaches through them: a link a node at most.
+
+    Links are gathered in blocks and replaced by the forest so far, so memory follows the nodes; a forest that outgrows
+    TASK_LINKS is given out and a new one begun.
+    """
+    held, n = [], 0
+
+    def reduce():
+        used, back = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        back = back.reshape(2, -1)
+        root = local_components(len(used), (back[0], back[1]))
+        own = root != np.arange(len(used))
+        return np.stack([used[own], used[root[own]]])
+
+    def out(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        n += batch.num_rows
+        if n >= TASK_LINKS:
+            tree = reduce()
+            if tree.shape[1] > TASK_LINKS // 2:
+                yield out(tree)
+                tree = tree[:, :0]
+            held, n = [tree], tree.shape[1]
+    if n:
+        yield out(reduce())
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges(u, v)``; component is the smallest node reachable.
+    """(node, component) for every node of ``edges(u, v)``; component is the smallest node reachable. Nulls link nothing.
 
-    Alternates large-star and small-star steps, each a min aggregation (combined before the shuffle) and an
-    equi-join, until no edge changes. Neighbour lists are never collected, so a hub node costs one row a link.
+    First every task cuts its links to a spanning forest, so several links of a node become one. Links that fit one task
+    are settled by that. Others alternate large-star and small-star steps, each a min aggregation (combined before the
+    shuffle) and an equi-join, until no edge changes. Neighbour lists are never collected. A node with more than HUB links
+    costs its lesser neighbours no shuffle: such nodes are at most 1 in HUB of the links and are broadcast.
     """
-    e = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    e = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")))
+    tasks = -(-e.count() // TASK_LINKS)
+    forest = scratch.save(e.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long"))
+    scratch.drop(e)
+    e, last = forest, None
+    for _ in range(max_rounds if tasks > 1 else 0):
+        # large star: each node's greater neighbours go to the least of its neighbours and itself
+        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+        hubs = e.groupBy("v").count().where(F.col("count") > HUB).select(F.col("v").alias("x"))
+        moved = scratch.save(least.join(F.broadcast(hubs), "x"))
+        hot = e.join(F.broadcast(hubs), F.col("v") == F.col("x"), "left_semi").join(F.broadcast(moved), F.col("v") == F.col("x"), "left")
+        cold = e.join(F.broadcast(hubs), F.col("v") == F.col("x"), "left_anti").join(least, F.col("v") == F.col("x"), "left")
+        large = hot.unionByName(cold).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # small star: each node's lesser neighbours and itself go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.save(small)
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(e)
+        scratch.drop(moved)
         e = new
         if mark == last:
             break
         last = mark
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
 

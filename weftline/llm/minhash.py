@@ -3,12 +3,13 @@
 A text's set is its distinct five-word shingles. A signature holds SYMBOLS minima, each kept as 16 bits; the distance of
 two signatures is the number of places that differ. Places are split into chunks of CHUNK; a key is a chunk with one
 place left out, so all signatures whose chunks differ in at most one place meet under a key (the allowed chunk error
-is enumerated). By the pigeonhole, any two signatures at a distance below 2 * CHUNKS meet; sets of similarity 0.75 differ
-in a quarter of the places, 24 of 96, and the chance that a pair meets under no key is below one in 10^5.
+is enumerated). By the pigeonhole, any two signatures that differ in fewer than 2 * CHUNKS places, which is the threshold
+in use, meet under a key. Sets of similarity 0.75 differ in a quarter of the places, 30 of 120; a pair of exactly that
+similarity has a distance beyond the threshold with a chance below one in 10^4, and less the more alike it is.
 
 1. Equal sets become one representative, the smallest id (aggregation by a 128-bit fingerprint of the set).
-2. Each key gets four heads, its first and last members by id and by hash; members meet heads, never each other, so a
-   hot key costs four rows a member.
+2. Each key gets two heads, its first and last members by id; members meet heads, never each other, so a hot key costs
+   two rows a member.
 3. Pairs within the signature distance are confirmed on the full sets, read again from the texts of candidates only.
 4. Confirmed links give components. A key whose members lie in several components may hide a link that its heads do
    not show. The texts under such keys fall into clusters (linked by sharing one); a cluster is cut into blocks, and a task
@@ -33,10 +34,11 @@ from .hashing import mix, runs, words
 
 SHINGLE = 5
 PERCENT = 75
-CHUNK, CHUNKS = 6, 16
+CHUNK, CHUNKS = 5, 24
 SYMBOLS = CHUNK * CHUNKS
-#: Signature distance up to which a pair is confirmed on the full sets; 24 are expected at similarity 0.75, with a deviation of 4.2.
-DISTANCE = 44
+#: Signature distance up to which a pair is confirmed on the full sets: all that the keys guarantee. At similarity 0.75,
+#: 30 places are expected to differ, with a deviation of 4.7.
+DISTANCE = 2 * CHUNKS - 1
 #: Candidates' ids are broadcast (8 bytes each) up to this count; beyond it texts meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
 _ODD = mix(np.arange(1, SYMBOLS + 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
@@ -215,11 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = scratch.save(signs)
 
     keys = signs.select("id", "sig").mapInArrow(_keys, "key long, rep long")
-    by = F.struct(F.xxhash64("rep").alias("h"), "rep")
-    heads = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(by).alias("lh"), F.max(by).alias("hh")).where("lo < hi")
-    heads = heads.select("key", F.array_distinct(F.array("lo", "hi", "lh.rep", "hh.rep")).alias("heads"))
+    heads = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = scratch.save(keys.join(heads, "key"))
-    pairs = members.select("rep", F.explode("heads").alias("head")).where("rep <> head").select(F.greatest("rep", "head").alias("a"), F.least("rep", "head").alias("b")).distinct()
+    pairs = members.select("rep", F.explode(F.array("lo", "hi")).alias("head")).where("rep <> head").select(F.greatest("rep", "head").alias("a"), F.least("rep", "head").alias("b")).distinct()
     links = _confirm(scratch, docs, pairs, signs)
     comp = components(scratch, links)
 
