@@ -20,6 +20,16 @@ def store(spark, tmp_path_factory):
     return s
 
 
+def test_both_normalisers_agree(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions.columns import normalize_expression
+
+    some = ["a.b.c + d . e AS total", "SUM( t.x )/COUNT(t.y);", "`表`.`列` * 2", "产.量*(1-税.率)", "x<>'a.b' AND y>=3", "f(a,b ,c)", "", "a.`b c`", "1.5*t1.q", "CASE WHEN t.a>1 THEN 'x.y' END as `n`", "$x.y"]
+    got = spark.createDataFrame([(x,) for x in some], "e string").select(normalize_expression(F.col("e")).alias("n")).collect()
+    assert [r.n for r in got] == [normalize(x) for x in some]
+
+
 # ---- scripts
 
 

@@ -144,12 +144,16 @@ def describe_filter(expr: Column) -> Column:
     return F.coalesce(*kinds, F.lit("过滤条件"))
 
 
+#: Names that stand before another one, each level of which a pass takes off.
+_QUALIFIER = r"(?U)(?<![\w.$'])(?:`[^`]+`|[^\W\d]\w*)\s*\.\s*(?=[`（(]|[^\W\d])"
+
+
 def normalize_expression(expr: Column) -> Column:
-    """Without trailing semicolon, alias and qualifiers, and with even spacing."""
+    """Without trailing semicolon, alias and qualifiers (up to three levels), and with even spacing."""
     e = F.regexp_replace(F.trim(F.coalesce(expr, F.lit(""))), r";\s*$", "")
     e = F.regexp_replace(e, r"(?i)\s+AS\s+`?[^\s`()]+`?\s*$", "")
     for _ in range(3):
-        e = F.regexp_replace(e, r"(?<![\w.$'])([A-Za-z_][A-Za-z_0-9]*)\s*\.\s*(?=[^\W\d])", "")
+        e = F.regexp_replace(e, _QUALIFIER, "")
     e = F.regexp_replace(F.regexp_replace(e, r"\s+", " "), r"\s*([(),])\s*", "$1")
     e = F.regexp_replace(e, ",", ", ")
     return F.trim(F.regexp_replace(e, r"\s*(<>|<=|>=|!=|[-+*/=<>])\s*", " $1 "))

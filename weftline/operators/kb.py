@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import aggregate_of, classify_expression, describe_filter, detect_functions, table_layer
-from ..functions.names import CONFIDENCE, Glossary, localize, normalize, split_comment_unit, strip_aggregates
+from ..functions.columns import aggregate_of, classify_expression, describe_filter, detect_functions, normalize_expression, table_layer
+from ..functions.names import CONFIDENCE, Glossary, localize, split_comment_unit, strip_aggregates
 from ..plans.lineage import CONSTANT
 from ..plans.text import comments
 from ..runtime import ship
@@ -102,23 +102,22 @@ def build(statements: DataFrame, columns: DataFrame, files: DataFrame, graph: Gr
     dep_type = "array<struct<table:string,column:string,chinese_name:string>>"
     m = m.withColumn("depends_on", F.coalesce(F.transform("dl", lambda x: F.struct(x["table"].alias("table"), x["column"].alias("column"), x["chinese_name"].alias("chinese_name"))), F.array().cast(dep_type))).withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
 
-    @F.pandas_udf("normalized string, formula string, formula_full string")
-    def formulas(expr: pd.Series, label: pd.Series, deps: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("formula string, formula_full string")
+    def formulas(normalized: pd.Series, label: pd.Series, deps: pd.Series) -> pd.DataFrame:
         rows = []
-        for e, lab, ds in zip(expr, label, deps, strict=True):
+        for n, lab, ds in zip(normalized, label, deps, strict=True):
             names = {d["column"].lower(): d["chinese_name"] for d in ds if d["chinese_name"]}
-            n = normalize(e or "")
             body = strip_aggregates(n)
             if not re.search(r"[+\-*/<>]", body):
                 body = n
-            rows.append((n, f"{lab} = {localize(body, names)}", f"{lab} = {localize(n, names)}"))
-        return pd.DataFrame(rows, columns=["normalized", "formula", "formula_full"])
+            rows.append((f"{lab} = {localize(body, names)}", f"{lab} = {localize(n, names)}"))
+        return pd.DataFrame(rows, columns=["formula", "formula_full"])
 
     agg = aggregate_of(F.col("expression"))
     sure = F.lit(0.9) - F.when(F.coalesce("chinese_source", F.lit("pending")) == "pending", 0.15).otherwise(0.0) - F.least(F.lit(0.2), F.col("unresolved") * 0.1) - F.when(F.col("metric_type").isin("窗口函数", "条件分支"), 0.05).otherwise(0.0)
-    metrics = m.withColumn("f", formulas("expression", F.coalesce("chinese_name", "target_column"), "depends_on")).select(
+    metrics = m.withColumn("expression_normalized", normalize_expression(F.col("expression"))).withColumn("f", formulas("expression_normalized", F.coalesce("chinese_name", "target_column"), "depends_on")).select(
         F.col("target_column").alias("metric_name"), F.col("target_table").alias("table_name"), F.col("file").alias("source_file"), "chinese_name", "chinese_source", table_layer(F.col("target_table")).alias("layer"), "metric_type",
-        F.when(F.col("metric_type").isin("窗口函数", "条件分支", "比率", "聚合"), agg).alias("aggregate_func"), detect_functions(F.col("expression")).alias("functions"), F.col("expression").alias("expression_raw"), F.col("f.normalized").alias("expression_normalized"),
+        F.when(F.col("metric_type").isin("窗口函数", "条件分支", "比率", "聚合"), agg).alias("aggregate_func"), detect_functions(F.col("expression")).alias("functions"), F.col("expression").alias("expression_raw"), "expression_normalized",
         "f.formula", "f.formula_full", "depends_on", F.col("statement_index").alias("source_stmt"), "source_task_type", "input_tables", F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.97), sure)), 2).alias("confidence"), "unit",
         F.when(F.col("unresolved") > 0, F.concat(F.col("unresolved").cast("string"), F.lit(" 个依赖字段未能确定中文名/来源表"))).otherwise("").alias("notes"),
     )

@@ -273,14 +273,17 @@ def q_insert_static_partition(s, d):
 @form("SELECT n_nationkey, CASE WHEN n_regionkey IN (1, 3) THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation")
 def q_insert_dynamic_partition(s, d):
     """All partitions by INSERT, then two of them anew by a dynamic overwrite, which leaves the others as they are."""
-    n = t(s, d, "nation")
-    n.createOrReplaceTempView("wf_nation")
+    t(s, d, "nation").createOrReplaceTempView("wf_nation")
     ddl = "(n_nationkey INT, n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey)"
-    _into(s, "dynamic", ddl, "INSERT INTO {t} PARTITION (n_regionkey) SELECT n_nationkey, n_name, n_regionkey FROM wf_nation")
-    again = n.where("n_regionkey in (1, 3)").select(F.col("n_nationkey").cast("int"), F.lower("n_name"), F.col("n_regionkey").cast("int"))
-    again.write.option("partitionOverwriteMode", "dynamic").insertInto(_made[-1], overwrite=True)
-    s.catalog.refreshTable(_made[-1])
-    return s.table(_made[-1])
+    mode, key = s.conf.get("spark.sql.sources.partitionOverwriteMode"), "spark.sql.sources.partitionOverwriteMode"
+    s.conf.set(key, "dynamic")
+    try:
+        return _into(
+            s, "dynamic", ddl, "INSERT INTO {t} PARTITION (n_regionkey) SELECT n_nationkey, n_name, n_regionkey FROM wf_nation",
+            "INSERT OVERWRITE TABLE {t} PARTITION (n_regionkey) SELECT n_nationkey, lower(n_name), n_regionkey FROM wf_nation WHERE n_regionkey IN (1, 3)",
+        )
+    finally:
+        s.conf.set(key, mode)
 
 
 @form("""SELECT doc_id, nullif(unnest(CASE WHEN coalesce(source, '') = 'src1' THEN [''] ELSE string_split(coalesce(source, ''), 'r') END), '') AS part FROM documents""")
