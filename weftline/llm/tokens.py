@@ -34,6 +34,8 @@ CHUNK_CHARS = 2_000_000
 MAX_STATES = 130_000
 LETTER, NUMBER, OTHER, SPACE, END, UNKNOWN = 0, 1, 2, 3, 4, 255
 SCALAR_LANES = 24
+#: Bytes of a chunk of a long piece; rounds in which chunks' maps are worked out for every state that may stand before them.
+CHUNK, SPECULATE = 64, 8
 
 
 def _byte_names() -> list[str]:
@@ -145,12 +147,11 @@ class Counter:
             state = int(nxt[state, b])
         return state, n
 
-    def pieces(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Tokens of each piece raw[start : start + size]."""
-        cols = self._columns(raw)
+    def _run(self, cols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, change of the count) after cols[start : start + size] from each state; all runs advance together."""
         order = np.argsort(-size, kind="stable")
         at, left = start[order], size[order]
-        state, count = np.full(len(at), self.first, np.int32), np.zeros(len(at), np.int32)
+        state, count = state[order].astype(np.int32), np.zeros(len(at), np.int64)
         live, j = len(at), 0
         more = -left
         while live:
@@ -169,11 +170,65 @@ class Counter:
             count[:live] += self.gain.ravel().take(cell)
             state[:live] = to
             j += 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], count[back]
+
+    def _composed(self, cols: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, count) after each long piece, whose chunks are run at the same time.
+
+        A chunk's map takes the state before it to the state after it and the change of the count. It is worked out for the
+        states that may stand before the chunk: at first the one at the beginning of a piece, then those that the maps
+        of the chunk before lead to, until nothing is missing (after SPECULATE rounds only what the pieces themselves
+        reach). Maps are then composed by pointer jumping, a parallel prefix scan over the chunks.
+        """
+        n = -(-size // CHUNK)
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(first, n)
+        lo = np.repeat(start, n) + inside * CHUNK
+        length = np.minimum(CHUNK, np.repeat(start + size, n) - lo)
+        ends = np.zeros(len(lo), bool)
+        ends[first + n - 1] = True
+        keys = exits = gains = np.zeros(0, np.int64)  # of the maps' entries: chunk and state before, sorted; state after; change
+        need = (np.arange(len(lo)) << 32) | self.first
+        turn = 0
+        while len(need):
+            chunk = need >> 32
+            state, gain = self._run(cols, lo[chunk], length[chunk], need & 0xFFFFFFFF)
+            keys, exits, gains = np.concatenate([keys, need]), np.concatenate([exits, state]), np.concatenate([gains, gain])
+            order = np.argsort(keys)
+            keys, exits, gains = keys[order], exits[order], gains[order]
+            chunk = keys >> 32
+            follows = np.where(ends[chunk], -1, ((chunk + 1) << 32) | exits)
+            place = np.minimum(np.searchsorted(keys, follows), len(keys) - 1)
+            there = (follows >= 0) & (keys[place] == follows)
+            missing = (follows >= 0) & ~there
+            turn += 1
+            if turn >= SPECULATE and missing.any():  # from here on only the pieces' own ways
+                at = np.searchsorted(keys, (first << 32) | self.first)
+                while there[at].any():
+                    at = np.where(there[at], place[at], at)
+                missing = np.zeros(len(keys), bool)
+                missing[at] = (follows[at] >= 0) & ~there[at]
+            need = np.unique(follows[missing])
+        jump = np.where(there, place, np.arange(len(keys)))
+        total = np.where(there, gains, 0)  # of all but the last map of a way
+        while (jump[jump] != jump).any():
+            total, jump = total + total[jump], jump[jump]
+        own = np.searchsorted(keys, (first << 32) | self.first)
+        return exits[jump[own]], total[own] + gains[jump[own]]
+
+    def pieces(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of each piece raw[start : start + size]."""
+        cols = self._columns(raw)
+        state, count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        long = size > 2 * CHUNK
+        for which, run in ((~long, lambda a, b: self._run(cols, a, b, np.full(len(a), self.first))), (long, lambda a, b: self._composed(cols, a, b))):
+            if which.any():
+                state[which], count[which] = run(start[which], size[which])
         for k in np.flatnonzero(state == self.dead).tolist():
-            count[k] = len(self.encode(raw[at[k] : at[k] + left[k]].tobytes()))
-        out = np.empty(len(at), np.int64)
-        out[order] = count
-        return out
+            count[k] = len(self.encode(raw[start[k] : start[k] + size[k]].tobytes()))
+        return count
 
     def _learn(self, points: np.ndarray) -> None:
         """Asks the tokenizer's own splitter for the class of characters not met before."""
