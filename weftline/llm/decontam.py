@@ -3,11 +3,13 @@
 Each document's words are read once into an array and exploded. A window of the benchmark can only lie where its longest
 word stands, so words meet the benchmark's longest words in a hash join; the window around each such place is hashed and
 meets the set of window hashes, and a hit counts only when the words themselves are equal. What is shuffled is the hits
-and, for the report, a row of figures for each document: no text. The benchmark is broadcast when its counted windows
-stay under ``BROADCAST_WINDOWS``; beyond that the same joins are left to the planner.
+and, for the report, a row of figures for each document: no text. The benchmark is broadcast when the counted bytes of its
+windows stay under ``BROADCAST_BYTES``; beyond that words (id, place, word) meet the benchmark's longest words by a shuffle, and
+only documents with such a place are read again for the window around it.
 
-Defined results: a null text has no words and no hits; a null benchmark text is no item; equal rows get equal
-figures; an empty benchmark contaminates nothing; input columns that have the name of an output column are replaced.
+Defined results: a null text has no words and no hits; a null benchmark text is no item; the windows of an item whose id is
+null hit like any other's, but the item is not counted or named; equal rows get equal figures; an empty benchmark
+contaminates nothing; input columns that have the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, ascii_lower, read
 
 WINDOW = 10
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of the benchmark's windows, as rows in memory, up to which they are broadcast.
+BROADCAST_BYTES = 128 << 20
 BROADCAST_KEYS = 500_000
 OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -29,7 +32,7 @@ def words(text):
 
 def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
     """(b_hash, b_words, b_len, item): every window of every item, once."""
-    w = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
+    w = bench.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     n = F.least(F.size("w"), F.lit(size))
     w = w.select("item", "w", n.alias("b_len"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
     w = w.select("item", "b_len", F.slice("w", F.col("i"), F.col("b_len")).alias("b_words")).distinct()
@@ -42,11 +45,21 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col
     # a window is looked for where its longest word stands
     longest = F.array_max(F.transform("b_words", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), (-i).alias("i"))))
     grams = scratch.save(grams.withColumn("a_word", longest["w"]).withColumn("a_off", -longest["i"]))
-    near = F.broadcast if grams.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    # a word takes 8 bytes for its place, 8 for its length and itself in whole 8 bytes; a row some 100 more
+    held = F.aggregate("b_words", F.lit(100), lambda n, w: n + 24 + F.octet_length(w))
+    small = grams.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    near = F.broadcast if small else (lambda x: x)
     places = grams.select("a_word", "a_off", F.col("b_len").alias("a_len")).distinct()
     base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t"), words(F.col(text_col)).alias("__w"))
-    each = base.select("__id", "__t", "__w", F.posexplode("__w").alias("p", "x")).join(near(places), F.col("x") == F.col("a_word"))
-    each = each.withColumn("pos", F.col("p") - F.col("a_off")).where((F.col("pos") >= 0) & (F.col("pos") + F.col("a_len") <= F.size("__w")))
+    pos = F.col("p") - F.col("a_off")
+    fits = (F.col("pos") >= 0) & (F.col("pos") + F.col("a_len") <= F.size("__w"))
+    if small:
+        each = base.select("__id", "__t", "__w", F.posexplode("__w").alias("p", "x")).join(near(places), F.col("x") == F.col("a_word"))
+        each = each.withColumn("pos", pos).where(fits)
+    else:
+        found = base.select(F.col("__id").alias("i"), F.col("__t").alias("t"), F.posexplode("__w").alias("p", "x")).join(places, F.col("x") == F.col("a_word"))
+        found = scratch.save(found.select("i", "t", pos.alias("pos"), "a_len").where("pos >= 0").distinct())
+        each = base.dropDuplicates(["__id", "__t"]).join(found, F.col("__id").eqNullSafe(F.col("i")) & F.col("__t").eqNullSafe(F.col("t"))).where(fits)
     window = F.slice("__w", F.col("pos") + 1, F.col("a_len"))
     each = each.withColumn("h", F.xxhash64(window)).join(near(grams.drop("a_word", "a_off")), (F.col("h") == F.col("b_hash")) & (F.col("a_len") == F.col("b_len")))
     return scratch.save(each.where(window == F.col("b_words")).select("__id", "__t", "pos", "b_len", "item"))
@@ -83,7 +96,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = hits(docs, bench, id_col, text_col, item_col, bench_text, size, scratch)
     keys = scratch.save(found.select(F.col("__id").alias("__i"), F.col("__t").alias("__t2")).distinct())
     side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return docs.join(side, docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__t2")), "left_anti")
+    return docs.join(side, docs[id_col].eqNullSafe(side["__i"]) & (F.xxhash64(docs[text_col]) == side["__t2"]), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir):
@@ -98,7 +111,7 @@ n AS (SELECT DISTINCT n FROM g),
 x AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n)),
 h AS (SELECT x.doc_id, x.i, x.n, g.item FROM x JOIN g ON x.n = g.n AND x.g = g.g),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
