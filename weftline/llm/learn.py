@@ -25,6 +25,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: i
     order = [F.xxhash64("__i"), F.col("__i"), F.col("y")]
     some = lab.where("y = 0").orderBy(*order).limit(rows).unionByName(lab.where("y = 1").orderBy(*order).limit(rows))
     got = docs.select("doc_id", "text").join(F.broadcast(some), docs["doc_id"] == F.col("__i")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    got = got.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # rows that repeat an id count once
     out = got.select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h")).toPandas()
     return out.sort_values(["h", "doc_id", "y", "text"], kind="stable").drop_duplicates("text").reset_index(drop=True), share
 
@@ -44,22 +45,46 @@ def without_copies(df: pd.DataFrame) -> pd.DataFrame:
 
 
 class Isotonic:
-    """Pool-adjacent-violators on (x, y), evaluated by interpolation; between 0.005 and 0.995."""
+    """Pool-adjacent-violators on (x, y): a level for each pool, a slope in the gaps between pools, and a hundredth of the
+    logistic curve, so that x keep their order inside a pool; between 0 and 1."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
         order = np.argsort(x, kind="stable")
         xs, ys, ws = x[order].astype(float), y[order].astype(float), (np.ones(len(x)) if weight is None else weight[order])
         blocks: list[list[float]] = []
         for a, b, w in zip(xs, ys, ws, strict=True):
-            blocks.append([b * w, w, a * w, 1])
+            blocks.append([b * w, w, a, a])
             while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-                s = blocks.pop()
-                blocks[-1] = [p + q for p, q in zip(blocks[-1], s, strict=True)]
-        self.x = np.array([b[2] / b[1] for b in blocks] or [0.0])
-        self.y = np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks] or [0.5])
+                good, w, _, end = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + good, blocks[-1][1] + w, blocks[-1][2], end]
+        self.x = np.array([edge for b in blocks for edge in b[2:]] or [0.0])
+        self.y = np.repeat([(b[0] + 0.5) / (b[1] + 1) for b in blocks], 2) if blocks else np.array([0.5])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(x, self.x, self.y), 0.005, 0.995)
+        return 0.99 * np.clip(np.interp(x, self.x, self.y), 0.0, 1.0) + 0.01 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Logistic:
+    """Logistic regression on standardised inputs, by Newton steps with a slight pull to zero; gives the margin."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, pull: float = 1e-3, steps: int = 50):
+        self.mid, self.width = x.mean(0), x.std(0) + 1e-9
+        z, weight = self._inputs(x), weight / weight.sum()
+        self.w = np.zeros(z.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+            slope = z.T @ (weight * (p - y)) + pull * self.w
+            curve = (z * (weight * p * (1 - p))[:, None]).T @ z + pull * np.eye(len(self.w))
+            step = np.linalg.solve(curve, slope)
+            self.w -= step
+            if np.abs(step).max() < 1e-9:
+                break
+
+    def _inputs(self, x):
+        return np.concatenate([np.ones((len(x), 1)), (x - self.mid) / self.width], 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._inputs(x) @ self.w
 
 
 class Boosted:

@@ -1,30 +1,31 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-Two dictionaries hold text of either label. A text is cut into blocks of 512 bytes (small blocks keep the dictionaries in
-force through the longest text) and each block is compressed with the good dictionary, the bad one and none. The
-normalised difference of the sizes with either dictionary, (bad - good) / (bad + good), and the three sizes over the
-block's length are summed up by their mean and extremes over all blocks; few boosted trees turn these into one margin
-and isotonic regression turns the margin into the probability of label 1. The mean difference alone reaches a held-out
-AUC near 0.9 here: text that repeats itself compresses alike with any dictionary, which the sizes themselves tell.
-Dictionaries, trees and curve are fitted on separate labelled rows. Labels are the only thing learnt from; id, language
-and source are never inputs.
+Two dictionaries hold text of either label. A text is cut into blocks of BLOCK bytes, so short that text which repeats
+itself gains nothing from that and only the dictionaries tell blocks apart, and each block is compressed with either one. The
+normalised difference of the two sizes, (bad - good) / (bad + good), is taken for each block and for their sums; its mean,
+extremes and deviation over the blocks and the difference of the sums go through a logistic regression, and isotonic
+regression turns that margin into the probability of label 1. Dictionaries, weights and curve are fitted on separate
+labelled rows. Labels are the only thing learnt from; id, language and source are never inputs.
 
 Defined results: a null or empty text scores the share of good rows in the sample's labels; labels other than 0 and 1
-are ignored; without labelled rows of both kinds every score is 0.5; equal texts get equal scores; no rows give no rows.
+are ignored; without labelled rows of both kinds every score is 0.5; equal texts, so repeated rows too, get equal scores; a very
+long text is scored whole, in blocks; an input column that has the score's name is replaced; no rows give no rows.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, ship
-from .learn import Boosted, Isotonic, label_weights, remainder, sample
+from .learn import Isotonic, Logistic, label_weights, remainder, sample
 
 DICTIONARY_BYTES = 112_640
-BLOCK = 512
+BLOCK = 64
 SLICE = 128
 LEVEL = 3
 THRESHOLD = 0.3
@@ -32,7 +33,7 @@ THRESHOLD = 0.3
 
 class Model:
     def __init__(self, good: bytes, bad: bytes):
-        self.good, self.bad, self.trees, self.curve, self.prior = good, bad, None, None, 0.5
+        self.good, self.bad, self.margin, self.curve, self.prior = good, bad, None, None, 0.5
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "made"}
@@ -41,32 +42,35 @@ class Model:
         if "made" not in self.__dict__:
             import zstandard as z
 
-            plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            self.made = [z.ZstdCompressor(**plain)]
-            for raw in (self.bad, self.good):
+            self.made = []
+            for raw in (self.good, self.bad):
                 d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
-                self.made.insert(0, z.ZstdCompressor(dict_data=d, **plain))
+                self.made.append(z.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
         return self.made
 
+    def sizes(self, text: str) -> np.ndarray:
+        """A row for each block: its compressed sizes with the good and with the bad dictionary. A rest of less than a quarter
+        block goes with the block before it."""
+        raw, (good, bad) = text.encode(), self._compressors()
+        edges = [*range(0, len(raw), BLOCK), len(raw)]
+        if len(edges) > 2 and edges[-1] - edges[-2] < BLOCK // 4:
+            edges.pop(-2)
+        return np.array([(len(good.compress(raw[a:b])), len(bad.compress(raw[a:b]))) for a, b in pairwise(edges)], float).reshape(-1, 2)
+
     def features(self, text: str) -> np.ndarray:
-        """Means and extremes over all blocks of the difference and the three relative sizes, and the log of the length."""
-        raw, (good, bad, own) = text.encode(), self._compressors()
-        seen = []
-        for i in range(0, len(raw), BLOCK):
-            block = raw[i : i + BLOCK]
-            if i and len(block) < BLOCK // 4:  # a rest that short goes with the block before it
-                block = raw[i - BLOCK :]
-                seen.pop()
-            g, b, o, n = len(good.compress(block)), len(bad.compress(block)), len(own.compress(block)), len(block)
-            seen.append(((b - g) / (b + g), g / n, b / n, o / n))
-        v = np.array(seen or [(0.0,) * 4])
-        return np.concatenate([v.mean(0), v.min(0), v.max(0), [np.log1p(len(raw))]])
+        """The normalised difference of the sizes: mean, least, greatest, deviation over the blocks, and that of the sums."""
+        size = self.sizes(text)
+        if not len(size):
+            return np.zeros(5)
+        d = (size[:, 1] - size[:, 0]) / size.sum(1)
+        good, bad = size.sum(0)
+        return np.array([d.mean(), d.min(), d.max(), d.std(), (bad - good) / (bad + good)])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.curve is None or not texts:
             return np.full(len(texts), 0.5)
-        out = self.curve(self.trees(np.array([self.features(t) for t in texts])))
+        out = self.curve(self.margin(np.array([self.features(t) for t in texts])))
         out[[i for i, t in enumerate(texts) if not t]] = self.prior
         return out
 
@@ -85,26 +89,27 @@ def _content(texts: list[str]) -> bytes:
 
 
 def fit(rows, share: float | None = None) -> Model:
-    """From a frame (doc_id, text, y) and the share of good rows among all labels. Half of the rows give the dictionaries, a third the trees, a sixth the curve."""
+    """From a frame (doc_id, text, y) and the share of good rows among all labels. Half of the rows give the dictionaries, a third
+    the weights, a sixth the curve."""
     rows = rows[rows["text"].str.len() > 0]
     part = np.arange(len(rows)) % 6
     dic, grow, cal = rows[part < 3], rows[(part == 3) | (part == 4)], rows[part == 5]
     model = Model(_content(dic["text"][dic["y"] == 1].tolist()), _content(dic["text"][dic["y"] == 0].tolist()))
     if len(model.good) > 8 and len(model.bad) > 8 and grow["y"].nunique() == 2 and cal["y"].nunique() == 2:
         x, y, z = np.array([model.features(t) for t in grow["text"]]), grow["y"].to_numpy().astype(float), cal["y"].to_numpy().astype(float)
-        model.trees = Boosted(x, y, label_weights(y, share), least=max(2.0, min(8.0, len(y) / 100)))
-        model.curve = Isotonic(model.trees(np.array([model.features(t) for t in cal["text"]])), z, label_weights(z, share))
+        model.margin = Logistic(x, y, label_weights(y, share))
+        model.curve = Isotonic(model.margin(np.array([model.features(t) for t in cal["text"]])), z, label_weights(z, share))
         model.prior = float(rows["y"].mean()) if share is None else share
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score``."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", into: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score in the column ``into``."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(into)
     at = docs.columns.index(text_col)
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(into, F.lit(0.0)).schema
     names = schema.fieldNames()
 
     def run(batches):

@@ -3,12 +3,13 @@
 The lexicon is learnt from labelled rows: words, and beginnings of words of 4 and 5 letters, that are far more frequent
 in toxic texts. Each text gives densities of lexicon words (as written, by their beginnings, and after digits and signs
 inside words are read as letters), how many different ones there are, how near they stand to a second-person word,
-shares of capitals and of exclamation and other signs, and rates of obfuscated words. Trees and curve see
-each half of the labelled sample with the lexicon of the other half; the curve's third gives nothing to the trees. Labels are the only thing learnt
-from; id, language and source are never inputs.
+shares of capitals and of exclamation and other signs, and rates of obfuscated words. Trees and curve see each half of the
+labelled sample with the lexicon of the other half; the curve's third gives nothing to the trees. Labels are the only thing
+learnt from; id, language and source are never inputs.
 
 Defined results: a null or empty text has features of 0 and the score they give; labels other than 0 and 1 are ignored;
-without labelled rows of both kinds every score is 0.5; equal texts get equal scores; no rows give no rows.
+without labelled rows of both kinds every score is 0.5; equal texts, so repeated rows too, get equal scores; a null id
+keeps its row; very long texts are read whole; other columns, whatever their names, are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
