@@ -84,6 +84,19 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     return g[place[at]].view(np.int64), mark.view(np.int64), own, lo - begin[own], n
 
 
+def _first_of_each(h, f, ids, at):
+    """(kind, h, f, id, at): of equal contexts the first (kind 0), and the others, which are hits whatever else there is (kind 1).
+    This map-side combine keeps a passage that very many texts share from meeting in one task."""
+    by = np.lexsort((at, ids, f, h))
+    h, f, ids, at = h[by], f[by], ids[by], at[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    keep = new | (ids != ids[lead]) | (at != at[lead])  # a repeated row is neither earlier nor later
+    cols = [(~new).astype(np.int32), h, f, ids.astype(np.int64), at]
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["kind", "h", "f", "id", "at"])
+
+
 def _anchors(batches):
     for batch in batches:
         for off in range(0, batch.num_rows, 512):
@@ -98,16 +111,21 @@ def _anchors(batches):
                     ends = np.cumsum([len(r) for r in raws])
                     h, f, own, at, n = anchors(np.frombuffer(b"".join(raws), np.uint8), ends)
                     if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(ids[lo : i + 1][own]), pa.array(at << 7 | n)], names=["h", "f", "id", "at"])
+                        yield _first_of_each(h, f, ids[lo : i + 1][own], at << 7 | n)
                     lo, size = i + 1, 0
 
 
 def _repeats(batches):
-    """Sorted (h, f, id, at) to hits (kind 1: an earlier equal context) and occurrences to compare (kind 2)."""
+    """Sorted (kind, h, f, id, at) to hits (kind 1: an earlier equal context) and occurrences to compare (kind 2). Rows of kind 1
+    are hits already."""
     last = None  # the last first-of-its-context row and whether it was given out
     prev = None  # the first row of the last context
     for batch in batches:
-        h, f, i, at = (c.to_numpy() for c in batch.columns)
+        known, h, f, i, at = (c.to_numpy() for c in batch.columns)
+        if (known == 1).any():
+            sure = known == 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[sure]) for x in (known, h, i, at)], names=["kind", "h", "id", "at"])
+            h, f, i, at = h[~sure], f[~sure], i[~sure], at[~sure]
         if not len(h):
             continue
         new_h, new_f = np.ones(len(h), bool), np.ones(len(h), bool)
@@ -451,8 +469,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     first = sums.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = scratch.save(sums.join(first, "g").where("id > first").select(F.col("id").alias("ci"), F.col("g").alias("cg")).distinct())
     whole = named.join(_small(copies), (named["id"] == copies["ci"]) & (F.md5(named["text"].cast("binary")) == copies["cg"]), "left_anti")
-    rows = whole.mapInArrow(_anchors, "h long, f long, id long, at long")
-    rows = rows.repartition("h").sortWithinPartitions("h", "f", "id", "at")
+    rows = whole.mapInArrow(_anchors, "kind int, h long, f long, id long, at long")
+    rows = rows.repartition(F.when(F.col("kind") == 1, F.xxhash64("id", "at")).otherwise(F.col("h"))).sortWithinPartitions("h", "f", "id", "at")
     met = scratch.save(rows.mapInArrow(_repeats, "kind int, h long, id long, at long"))
     ask = met.where("kind = 2").distinct().groupBy("id").agg(F.collect_list("h").alias("hs"), F.collect_list("at").alias("ats"))  # at most a text's own anchors
     cut = whole.join(ask, "id").select("id", "text", "hs", "ats").mapInArrow(_contexts, "h long, id long, lo long, ctx binary")
