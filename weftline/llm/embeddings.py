@@ -12,11 +12,13 @@ components of what it linked: pairs are never emitted. Components are then settl
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have no links, are their own
 component and are kept; vectors of different lengths are never linked; rows with the same id are one vector's copies; a
-null id has a null component and is kept; no rows give no rows; other columns are ignored.
+null id has a null component and is kept; vectors of any length are compared whole; no rows give no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -48,18 +50,25 @@ def shape(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log1p(-(near**k)))
 
 
-def cells(x: np.ndarray, k: int, first: int, tables: int) -> np.ndarray:
-    """Bucket hashes of normalised rows in tables ``first`` to ``tables`` - 1."""
+@functools.lru_cache(maxsize=8)
+def projections(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The random projections of all tables side by side and their offsets, drawn once in a worker."""
+    drawn = [np.random.default_rng([SEED, dim, t]) for t in range(tables)]
+    made = [(r.standard_normal((dim, k)), r.uniform(0, WIDTH, k)) for r in drawn]
+    return np.concatenate([a for a, _ in made], axis=1), np.concatenate([b for _, b in made])
+
+
+def cells(x: np.ndarray, k: int, tables: int) -> np.ndarray:
+    """Bucket hashes of normalised rows in ``tables`` tables."""
     dim = x.shape[1]
-    out = np.empty((len(x), tables - first), np.uint64)
-    for t in range(first, tables):
-        rng = np.random.default_rng([SEED, dim, t])
-        a, b = rng.standard_normal((dim, k)), rng.uniform(0, WIDTH, k)
-        q = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64)
-        h = mix(np.full(len(x), (dim << 32) + t + 1, np.uint64))
+    a, b = projections(dim, k, tables)
+    out = np.empty((len(x), tables), np.uint64)
+    for s in range(0, len(x), max(1, 2_000_000 // (k * tables))):
+        q = np.floor((x[s : s + max(1, 2_000_000 // (k * tables))] @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, k)
+        h = mix(np.broadcast_to((np.uint64(dim) << np.uint64(32)) + np.arange(1, tables + 1, dtype=np.uint64), q.shape[:2]))
         for j in range(k):
-            h = mix(h + q[:, j])
-        out[:, t - first] = h
+            h = mix(h + q[:, :, j])
+        out[s : s + len(h)] = h
     return out
 
 
@@ -97,7 +106,7 @@ def _deal(dtype, k, tables, whole):
                 sizes = np.array([len(r) for r in raws])
                 for size in np.unique(sizes).tolist():
                     rows = np.flatnonzero(sizes == size)
-                    keys = cells(unit([raws[i] for i in rows], dtype), k, 0, tables).reshape(-1).view(np.int64)
+                    keys = cells(unit([raws[i] for i in rows], dtype), k, tables).reshape(-1).view(np.int64)
                     if not whole:
                         yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
                         continue
@@ -134,7 +143,7 @@ def _hits(x: np.ndarray, side: np.ndarray, start: np.ndarray, size: np.ndarray,
             yield a[keep], b[keep]
 
 
-def _link(dtype, k, threshold):
+def _link(dtype, k, tables, threshold):
     """Sorted rows to (a, n, b): n more linked rows of a, and b, linked with a over pairs of the batch."""
 
     def solve(c):
@@ -147,7 +156,7 @@ def _link(dtype, k, threshold):
         if not len(p):
             return None
         used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
-        codes = cells(c["x"][used], k, 0, int(c["tab"][used].max()) + 1)
+        codes = cells(c["x"][used], k, tables)
         first = np.empty(len(p), bool)
         for s in range(0, len(p), 65536):  # counted in the first table that holds the pair
             a, b = back[: len(p)][s : s + 65536], back[len(p) :][s : s + 65536]
@@ -201,7 +210,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     else:
         rows = rows.withColumn("side", F.lit(0)).withColumn("other", F.lit(0))
     rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "tab", "cid", "m", "x", "side")
-    linked = scratch.save(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link(dtype, k, threshold), "a long, n long, b long"))
+    linked = scratch.save(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link(dtype, k, tables, threshold), "a long, n long, b long"))
     comp = components(scratch, linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
     counts = linked.groupBy("a").agg(F.sum("n").alias("n"))
     per = classes.select("h", "cid", "m").join(counts, F.col("cid") == F.col("a"), "left").join(comp, F.col("cid") == F.col("node"), "left")
