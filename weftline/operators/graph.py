@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LAYERS, table_layer
+from ..plans.lineage import local_frame
 from ..runtime import shared_dir
 
 MAX_COLUMNS_PER_EDGE = 200
@@ -142,7 +143,7 @@ def _near(pairs: Iterable[tuple[str, str]], up: bool = False) -> dict[str, list[
 
 
 def _frame(g: Graph, rows: Iterable[tuple], schema: str) -> DataFrame:
-    return g.edges.sparkSession.createDataFrame(list(rows), schema)
+    return local_frame(g.edges.sparkSession, list(rows), schema)
 
 
 # ---- traversals

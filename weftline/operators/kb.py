@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import aggregate_of, classify_expression, describe_filter, detect_functions, normalize_expression, table_layer
 from ..functions.names import CONFIDENCE, Glossary, localize, split_comment_unit, strip_aggregates
-from ..plans.lineage import CONSTANT
+from ..plans.lineage import CONSTANT, local_frame
 from ..plans.text import comments
 from ..runtime import ship
 from .graph import Graph
@@ -176,7 +176,7 @@ def _window(*cols):
 
 
 def build_from_scan(scan, glossary: Glossary | None = None) -> dict[str, DataFrame]:
-    files = scan.spark.createDataFrame([*scan.texts.items()] or [("", "")], "path string, text string")
+    files = local_frame(scan.spark, [*scan.texts.items()] or [("", "")], "path string, text string")
     return build(scan.statements(), scan.columns(), files, scan.graph(), glossary)
 
 

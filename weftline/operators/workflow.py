@@ -15,6 +15,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import local_frame
 from .graph import Graph, _kept, cycles, depths, paths
 from .scripts import parse_scripts
 
@@ -119,7 +120,7 @@ def task_tables(spark: SparkSession, tasks: DataFrame, task_types: list[str] | N
             errors += [(*task, e["error"]) for e in got["errors"]]
             records += got["statements"]
             rows += [(*task, x, "read") for x in got["input_tables"]] + [(*task, x, "write") for x in got["output_tables"]]
-    return spark.createDataFrame(sorted(set(rows)), "workflow_code long, task_code long, table string, direction string"), spark.createDataFrame(errors, "workflow_code long, task_code long, error string"), records
+    return local_frame(spark, sorted(set(rows)), "workflow_code long, task_code long, table string, direction string"), local_frame(spark, errors, "workflow_code long, task_code long, error string"), records
 
 
 def table_index(tt: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def workflow_dependencies(tt: DataFrame, native: DataFrame | None = None) -> Dat
 def native_dependencies(spark: SparkSession, tasks: DataFrame) -> DataFrame:
     """(source, target, kind): workflows named by tasks."""
     rows = {(code, t.workflow_code, kind) for t in tasks.select("workflow_code", "task_params").toLocalIterator() for code, kind in references(t.task_params) if code != t.workflow_code}
-    return spark.createDataFrame(sorted(rows), "source long, target long, kind string")
+    return local_frame(spark, sorted(rows), "source long, target long, kind string")
 
 
 def workflow_levels(workflows: DataFrame, deps: DataFrame) -> DataFrame:
