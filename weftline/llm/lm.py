@@ -2,9 +2,10 @@
 
 Counts cover the whole corpus: every training text's words are counted by hash, the counts of all words stay a
 distributed table, and the HEAD most frequent words (a fixed bound) are also sent to the workers. A word's
-probability is P(class | state) * P(word | class). Classes are few: clusters of frequent words that share
-documents, split by frequency, one class for all words outside the head, and the end of a text. Within a class a word
-has (c + 1) / Z, with c its count over the corpus and Z the class's sum, so the corpus fixes that factor exactly; words
+probability is P(class | state) * P(word | class, state). Classes are few: clusters of frequent words that share
+documents, split by frequency, one class for all words outside the head, and the end of a text. Within a class each word
+has the weight (c + 1) * exp(v . state), with c its count over the corpus and v learnt for the INNER most frequent words,
+zero for the others: a softmax whose starting point is the corpus, and in which the words without a vector are one sum. Words
 outside the head get their c by a join on the hash, and nothing is dropped.
 
 The clusters come from sums over all training texts: each text adds its signs (SIGNS bits of a hash of id and text) to
@@ -37,12 +38,13 @@ from .learn import remainder
 HEAD = 1 << 18
 INPUTS = 2048
 CLUSTERS = 24
+INNER = 512
 SIGNS = 48
 HIDDEN = 24
 WINDOW = 24
 #: Head words seen less often share the class of the words outside the head, so that class is learnt in small corpora too.
 LEAST = 2
-LANES = 256
+LANES, SCORE_LANES = 256, 192
 #: Small training parts are passed over up to PASSES times, until this many tokens are read; larger ones once.
 TRAIN_TOKENS, PASSES = 1_600_000, 8
 ROUNDS = 4
@@ -50,6 +52,10 @@ ROUNDS = 4
 #: at a time in training, and the longest piece of a text in one stream.
 TASK_TOKENS, GATHER_TOKENS, BLOCK, STRETCH = 1_600_000, 8_000_000, 400_000, 1024
 FLUSH = 1_500_000
+#: Tokens that a task takes up at a time in scoring.
+SCORE_TOKENS = 1_000_000
+#: Bits of a hash by which the head is entered.
+LEADING = 19
 
 
 # ---- counts
@@ -93,86 +99,181 @@ def _merge(seen, count, held):
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def sums_by(keys: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Of each key below ``n`` the sum of its columns, a row for each key."""
+    return np.stack([np.bincount(keys, x, n) for x in columns], 1).astype(columns.dtype)
+
+
+class Inside:
+    """The softmax within each class: a member u of the class has the weight (count + 1) * exp(v_u . state), where v_u is learnt
+    for the INNER most frequent words and zero for others, whose counts are summed up in ``rest``."""
+
+    def __init__(self, z: np.ndarray, cls: np.ndarray, weight: np.ndarray):
+        """Of all classes the sums of count + 1; the class and the count + 1 of each frequent word."""
+        self.order = np.argsort(cls, kind="stable")
+        self.cuts = np.searchsorted(cls[self.order], np.arange(len(z) + 1))
+        self.log = np.log(np.maximum(weight[self.order], 1.0))
+        own = np.bincount(cls, weight, len(z)) if len(cls) else np.zeros(len(z))
+        self.rest, self.z = np.maximum(0.0, z - own), np.log(z)
+
+    def __call__(self, v: np.ndarray, hs: np.ndarray, y: np.ndarray, row: np.ndarray, slopes: bool = False):
+        """ln of exp(v_w . state) / Z(class, state) of each token, given its state (a column of ``hs``), its class ``y`` and its place
+        ``row`` among the frequent words (-1 for others); with ``slopes`` also the slopes of the sum for v and for the states."""
+        out = -self.z[y]
+        dv, dh = np.zeros_like(v), np.zeros_like(hs) if slopes else None
+        by = np.argsort(y.astype(np.int16), kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(y, minlength=len(self.z)))])
+        for c in np.flatnonzero((np.diff(self.cuts) > 0) & (np.diff(cuts) > 0)).tolist():
+            lo, hi, at = self.cuts[c], self.cuts[c + 1], by[cuts[c] : cuts[c + 1]]
+            own, state = v[lo:hi], hs[:, at]
+            a = own @ state
+            r = row[at] - lo
+            there = np.flatnonzero(r >= 0)
+            mine = np.zeros(len(at), a.dtype)
+            mine[there] = a[r[there], there]
+            a += self.log[lo:hi, None].astype(a.dtype)
+            top = np.maximum(a.max(axis=0), np.log(max(self.rest[c], 1e-30)).astype(a.dtype))
+            a -= top
+            np.exp(a, out=a)
+            total = a.sum(axis=0) + (self.rest[c] * np.exp(-top)).astype(a.dtype)
+            out[at] = mine - top - np.log(total)
+            if slopes:
+                a /= -total
+                a[r[there], there] += 1
+                dv[lo:hi] = a @ state.T
+                dh[:, at] = own.T @ a
+        return (out, dv, dh) if slopes else out
 
 
 class Net:
-    """A gated recurrent net over input ids, with a softmax over classes."""
+    """A gated recurrent net over input ids, with a softmax over classes and one within each class. States are columns, a lane
+    each, so that all work on them runs along memory."""
 
-    def __init__(self, inputs: int, classes: int, hidden: int = HIDDEN, seed: int = 7):
+    def __init__(self, inputs: int, classes: int, hidden: int = HIDDEN, seed: int = 7, inside: Inside | None = None, dtype=np.float32):
         r = np.random.default_rng(seed)
-        f = lambda *s: (r.standard_normal(s) * 0.5 / math.sqrt(s[0])).astype(np.float32)
-        self.h, self.past = hidden, None
-        self.p = {"e": (r.standard_normal((inputs, hidden)) * 0.3).astype(np.float32), "w": f(hidden, 3 * hidden), "u": f(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "o": f(hidden, classes), "ob": np.zeros(classes, np.float32)}
+        f = lambda *s: (r.standard_normal(s) * 0.5 / math.sqrt(s[0])).astype(dtype)
+        inside = inside or Inside(np.ones(classes), np.zeros(0, int), np.zeros(0))
+        self.h, self.past, self.inside = hidden, None, inside
+        self.p = {
+            "e": (r.standard_normal((inputs, hidden)) * 0.3).astype(dtype), "w": f(hidden, 3 * hidden), "u": f(hidden, 3 * hidden), "b": np.zeros(3 * hidden, dtype),
+            "o": f(hidden, classes), "ob": np.zeros(classes, dtype), "v": np.zeros((len(inside.order), hidden), dtype),
+        }
 
     def step(self, h: np.ndarray, x: np.ndarray):
         """(state, update gate, reset gate, candidate, recurrent part) after inputs ``x`` already times w plus b."""
         k = self.h
-        hu = h @ self.p["u"]
-        zr = sigmoid(x[:, : 2 * k] + hu[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * hu[:, 2 * k :])
-        return z * h + (1 - z) * n, z, r, n, hu[:, 2 * k :]
+        hu = self.p["u"].T @ h
+        zr = x[: 2 * k] + hu[: 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        z, r, hu = zr[:k], zr[k:], hu[2 * k :]
+        n = r * hu
+        n += x[2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, hu
 
     def logs(self, h: np.ndarray) -> np.ndarray:
-        a = h @ self.p["o"] + self.p["ob"]
-        a -= a.max(axis=1, keepdims=True)
-        return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
-
-    def train(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, epochs: int = 2, window: int = WINDOW, rate: float = 0.004) -> list[float]:
-        """Truncated backpropagation through windows of (time, lane) arrays; target -1 is padding."""
+        """ln P(class | state), a column for each state."""
+        a = self.p["o"].T @ h
+        a += self.p["ob"][:, None]
+        a -= a.max(axis=0)
+        a -= np.log(np.exp(a).sum(axis=0))
+        return a
+
+    def slopes(self, x: np.ndarray, y: np.ndarray, row: np.ndarray, fresh: np.ndarray, h: np.ndarray):
+        """(loss, tokens, slopes of the mean loss, state) of a window of (time, lane) arrays that begins with state ``h``."""
         p, k = self.p, self.h
+        e = p["e"][x]
+        xw = np.matmul(p["w"].T, e.transpose(0, 2, 1)) + p["b"][:, None]
+        past, cache = [], []
+        for t in range(len(x)):
+            if fresh[t].any():
+                h = np.where(fresh[t], h.dtype.type(0), h)
+            past.append(h)
+            h, *c = self.step(h, xw[t])
+            cache.append((h, *c))
+        hs = np.concatenate([c[0] for c in cache], axis=1)
+        yy = y.reshape(-1)
+        ok = np.flatnonzero(yy >= 0)
+        n, live, seen = max(1, len(ok)), yy[ok], hs if len(ok) == len(yy) else hs[:, ok]
+        lp = self.logs(seen)
+        own, dv, dh = self.inside(p["v"], seen, live, row.reshape(-1)[ok], True)
+        loss = -float(lp[live, np.arange(len(ok))].sum(dtype=float) + own.sum(dtype=float))
+        d = np.exp(lp, out=lp)
+        d[live, np.arange(len(ok))] -= 1
+        d /= n
+        g = {"o": seen @ d.T, "ob": d.sum(1), "u": np.zeros_like(p["u"]), "w": np.zeros_like(p["w"]), "v": dv / -n}
+        out = p["o"] @ d
+        dh /= n
+        out -= dh
+        if len(ok) != len(yy):
+            full = np.zeros_like(hs)
+            full[:, ok] = out
+            out = full
+        lanes_n = x.shape[1]
+        dx, dh = np.empty_like(xw), np.zeros_like(h)
+        du = np.empty((3 * k, lanes_n), h.dtype)
+        for t in range(len(x) - 1, -1, -1):
+            _, z, r, c, hu = cache[t]
+            dh += out[:, t * lanes_n : (t + 1) * lanes_n]
+            da, dz, dr = dx[t, 2 * k :], dx[t, :k], dx[t, k : 2 * k]
+            np.subtract(past[t], c, out=dz)
+            dz *= dh
+            dz *= z
+            np.subtract(1, z, out=da)
+            dz *= da
+            da *= dh
+            c *= c
+            np.subtract(1, c, out=c)
+            da *= c
+            np.multiply(da, hu, out=dr)
+            dr *= r
+            np.multiply(da, r, out=du[2 * k :])
+            np.subtract(1, r, out=r)
+            dr *= r
+            du[: 2 * k] = dx[t, : 2 * k]
+            g["u"] += past[t] @ du.T
+            g["w"] += e[t].T @ dx[t].T
+            dh *= z
+            dh += p["u"] @ du
+            if fresh[t].any():
+                dh[:, fresh[t]] = 0
+        g["b"] = dx.sum((0, 2))
+        g["e"] = sums_by(x.reshape(-1), np.matmul(p["w"], dx).transpose(1, 0, 2).reshape(k, -1), len(p["e"]))
+        return loss, len(ok), g, h
+
+    def train(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, epochs: int = 2, window: int = WINDOW, rate: float = 0.004, rows: np.ndarray | None = None) -> list[float]:
+        """Truncated backpropagation through windows of (time, lane) arrays; target -1 is padding."""
+        p = self.p
+        rows = np.full_like(targets, -1) if rows is None else rows
         if self.past is None:
             self.past = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
         m, v, at = self.past
         losses = []
         for _ in range(epochs):
-            h, total, seen = np.zeros((inputs.shape[1], k), np.float32), 0.0, 0
+            h, total, seen = np.zeros((self.h, inputs.shape[1]), p["u"].dtype), 0.0, 0
             for s in range(0, len(inputs), window):
-                x, y, f = inputs[s : s + window], targets[s : s + window], fresh[s : s + window]
-                e = p["e"][x]
-                xw = e @ p["w"] + p["b"]
-                past, cache = [], []
-                for t in range(len(x)):
-                    h = np.where(f[t][:, None], np.float32(0), h)
-                    past.append(h)
-                    h, *c = self.step(h, xw[t])
-                    cache.append((h, *c))
-                hs = np.stack([c[0] for c in cache]).reshape(-1, k)
-                lp = self.logs(hs)
-                yy = y.reshape(-1)
-                ok = yy >= 0
-                n = max(1, int(ok.sum()))
-                total -= float(lp[ok, yy[ok]].sum())
+                part = slice(s, s + window)
+                loss, n, g, h = self.slopes(inputs[part], targets[part], rows[part], fresh[part], h)
+                total += loss
                 seen += n
-                d = np.exp(lp)
-                d[ok, yy[ok]] -= 1
-                d[~ok] = 0
-                d /= n
-                g = {"o": hs.T @ d, "ob": d.sum(0), "u": np.zeros_like(p["u"])}
-                dh_out = (d @ p["o"].T).reshape(len(x), -1, k)
-                dx = np.zeros_like(xw)
-                dh = np.zeros_like(h)
-                for t in range(len(x) - 1, -1, -1):
-                    _, z, r, c, hu = cache[t]
-                    dh = dh + dh_out[t]
-                    da = dh * (1 - z) * (1 - c * c)
-                    dz = dh * (past[t] - c) * z * (1 - z)
-                    dr = da * hu * r * (1 - r)
-                    dx[t] = np.concatenate([dz, dr, da], 1)
-                    du = np.concatenate([dz, dr, da * r], 1)
-                    g["u"] += past[t].T @ du
-                    dh = np.where(f[t][:, None], np.float32(0), dh * z + du @ p["u"].T)
-                flat = dx.reshape(-1, 3 * k)
-                g["w"], g["b"] = e.reshape(-1, k).T @ flat, flat.sum(0)
-                g["e"] = np.zeros_like(p["e"])
-                np.add.at(g["e"], x.reshape(-1), flat @ p["w"].T)
-                norm = math.sqrt(sum(float((q * q).sum()) for q in g.values()))
+                norm = math.sqrt(sum(float(np.vdot(q, q)) for q in g.values()))
                 at += 1
                 for name, q in g.items():
-                    q = q * min(1.0, 1.0 / (norm + 1e-9))
-                    m[name] = 0.9 * m[name] + 0.1 * q
-                    v[name] = 0.999 * v[name] + 0.001 * q * q
+                    q *= min(1.0, 1.0 / (norm + 1e-9))
+                    m[name] *= 0.9
+                    m[name] += 0.1 * q
+                    q *= q
+                    v[name] *= 0.999
+                    v[name] += 0.001 * q
                     p[name] -= (rate * math.sqrt(1 - 0.999**at) / (1 - 0.9**at)) * m[name] / (np.sqrt(v[name]) + 1e-7)
             losses.append(total / max(1, seen))
         self.past = m, v, at
@@ -200,7 +301,9 @@ class Model:
     def __init__(self, head: np.ndarray, count: np.ndarray, n_all: int, v_all: int, ends: int):
         order = np.argsort(head)
         self.head, self.count = head[order], count[order]
+        self.starts = np.minimum(np.searchsorted(self.head, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)), max(0, len(head) - 1))
         self.cls = np.zeros(len(head), np.int32)
+        self.row = np.full(len(head), -1, np.int32)
         self.rare, self.end = 0, 1
         self.outside = n_all - ends - int(count.sum())
         self.rare_z = n_all - ends - int(count.sum()) + max(0, v_all - 1 - len(head)) + 1
@@ -210,10 +313,15 @@ class Model:
         self.net = None
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Places in the head, -1 elsewhere."""
+        """Places in the head, -1 elsewhere: from the first word with the hash's leading bits on, up to the hash."""
         if not len(self.head):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+        at = self.starts[h >> np.uint64(64 - LEADING)]
+        last = len(self.head) - 1
+        left = np.flatnonzero((self.head[at] < h) & (at < last))
+        while len(left):
+            at[left] += 1
+            left = left[(self.head[at[left]] < h[left]) & (at[left] < last)]
         return np.where(self.head[at] == h, at, -1)
 
     def fit(self, vectors: np.ndarray) -> None:
@@ -222,13 +330,17 @@ class Model:
         share = np.bincount(self.cls, weights=self.count, minlength=len(self.z)) + 1.0
         share[self.rare] += self.outside
         share[self.end] += self.ends
-        self.net = Net(INPUTS + len(self.z) + 1, len(self.z))
+        often = np.argsort(-self.count, kind="stable")[:INNER]
+        often = often[self.count[often] >= LEAST]
+        inside = Inside(self.z, self.cls[often], self.count[often] + 1.0)
+        self.row[often[inside.order]] = np.arange(len(often))
+        self.net = Net(INPUTS + len(self.z) + 1, len(self.z), inside=inside)
         self.net.p["ob"] = np.log(share / share.sum()).astype(np.float32)
 
     def learn(self, net: Net, parts: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float) -> None:
         """Trains ``net`` on the words of some texts, as ``words`` gives them."""
         n = np.concatenate([b for _, b in parts])
-        stream, target = self._streams(self.find(np.concatenate([a for a, _ in parts])), n)
+        stream, target, row = self._streams(self.find(np.concatenate([a for a, _ in parts])), n)
         pieces = -(-(n + 1) // STRETCH)
         upto = np.cumsum(pieces) - pieces
         inside = np.arange(int(pieces.sum())) - np.repeat(upto, pieces)
@@ -236,16 +348,16 @@ class Model:
         sizes = np.minimum(STRETCH, np.repeat(n + 1, pieces) - inside * STRETCH)
         deal = lanes(sizes, LANES)
         length = max(int(sizes[d].sum()) for d in deal)
-        x, y = np.zeros((length, len(deal)), np.int64), np.full((length, len(deal)), -1)
+        x, y, q = np.zeros((length, len(deal)), np.int64), np.full((length, len(deal)), -1), np.full((length, len(deal)), -1)
         fresh = np.zeros((length, len(deal)), bool)
         for k, own in enumerate(deal):
             t = 0
             for i in own:
                 s = slice(begin[i], begin[i] + sizes[i])
-                x[t : t + sizes[i], k], y[t : t + sizes[i], k] = stream[s], target[s]
+                x[t : t + sizes[i], k], y[t : t + sizes[i], k], q[t : t + sizes[i], k] = stream[s], target[s], row[s]
                 fresh[t, k] = True
                 t += int(sizes[i])
-        net.train(x, y, fresh, epochs, rate=rate)
+        net.train(x, y, fresh, epochs, rate=rate, rows=q)
 
     def _classes(self, v: np.ndarray) -> None:
         top = np.argsort(-self.count, kind="stable")
@@ -275,15 +387,16 @@ class Model:
         self.z[0], self.z[1] = self.z[0] + max(0, self.rare_z), self.ends + 1
         self.input = np.where(place < INPUTS, place, INPUTS + self.cls).astype(np.int32)
 
-    def _streams(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(input ids, target classes) of all texts, one end token each."""
+    def _streams(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(input ids, target classes, places among the frequent words) of all texts, one end token each."""
         total = len(at) + len(n)
         stop = np.cumsum(n + 1) - 1
         real = np.ones(total, bool)
         real[stop] = False
         target = np.full(total, self.end)
-        own = np.full(total, INPUTS + self.end)
+        own, row = np.full(total, INPUTS + self.end), np.full(total, -1)
         if len(self.head):
+            row[real] = np.where(at >= 0, self.row[at], -1)
             target[real] = np.where(at >= 0, self.cls[at], self.rare)
             own[real] = np.where(at >= 0, self.input[at], INPUTS + self.rare)
         else:
@@ -291,43 +404,95 @@ class Model:
         x = np.empty(total, np.int64)
         x[1:] = own[:-1]
         x[stop - n] = INPUTS + len(self.z)
-        return x, target
+        return x, target, row
 
     def classes_score(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of each text: the sum of log10 P(class | state) - log10 Z(class) over its tokens."""
-        x, y = self._streams(at, n)
-        sizes = n + 1
-        begin = np.cumsum(sizes) - sizes
-        deal = lanes(sizes, LANES)
-        index = [np.concatenate([np.arange(begin[i], begin[i] + sizes[i]) for i in d]) for d in deal]
-        longest = max(map(len, index))
-        grid = np.full((longest, len(deal)), -1)
-        for k, i in enumerate(index):
-            grid[: len(i), k] = i
-        first = np.zeros(len(x), bool)
-        first[begin] = True
-        net, out = self.net, np.zeros(len(x))
-        table = net.p["e"] @ net.p["w"] + net.p["b"]
-        order = np.argsort([-len(i) for i in index], kind="stable")
-        grid = grid[:, order]
+        """Of each text: the sum over its tokens of log10 P(class | state) and of log10 of exp(v . state) / Z(class, state), so
+        that with log10 of the words' counts + 1 it is the text's log10 probability."""
+        run = Lanes(self)
+        run.add(at, n)
+        done, sums = run.advance(True)
+        return sums[np.argsort(done)]
+
+
+class Lanes:
+    """Texts read side by side, each with its own state from its first token to its last.
+
+    Texts are dealt to SCORE_LANES streams. When few streams are left, the texts that are not through go on, with their
+    states, beside the next block of texts, so a very long text never runs alone until the end of the input.
+    """
+
+    def __init__(self, model: Model):
+        self.m, k = model, model.net.h
+        self.table = np.ascontiguousarray((model.net.p["e"] @ model.net.p["w"] + model.net.p["b"]).T)
+        self.x, self.y, self.row = (np.zeros(0, np.int64) for _ in range(3))
+        self.size, self.sums, self.state = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, k), np.float32)
+
+    def add(self, at: np.ndarray, n: np.ndarray) -> None:
+        for name, new in zip(("x", "y", "row"), self.m._streams(at, n), strict=True):
+            setattr(self, name, np.concatenate([getattr(self, name), new]))
+        self.size = np.concatenate([self.size, n + 1])
+        self.sums = np.concatenate([self.sums, np.zeros(len(n))])
+        self.state = np.concatenate([self.state, np.zeros((len(n), self.state.shape[1]), np.float32)])
+
+    def advance(self, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the texts that are through, by the order in which they were held; their sums)."""
+        net, size = self.m.net, self.size
+        begin = np.cumsum(size) - size
+        if not len(size):
+            return np.zeros(0, np.int64), np.zeros(0)
+        deal = lanes(size, SCORE_LANES)
+        deal = [sorted(d, key=lambda i: not self.state[i].any()) for d in deal]  # a text that goes on comes first
+        length = np.array([int(size[d].sum()) for d in deal])
+        order = np.argsort(-length, kind="stable")
+        deal, length = [deal[k] for k in order], length[order]
+        steps = int(length[0]) if last else int(length[min(len(deal) - 1, SCORE_LANES // 8)])
+        grid = np.full((steps, len(deal)), -1)
+        for k, d in enumerate(deal):
+            index = np.concatenate([np.arange(begin[i], begin[i] + size[i]) for i in d])[:steps]
+            grid[: len(index), k] = index
+        first = np.full(len(self.x), -1)
+        first[begin] = np.arange(len(size))
         live = (grid >= 0).sum(1)
-        h = np.zeros((len(deal), net.h), np.float32)
-        for s in range(0, longest, 64):
+        h, got = np.zeros((net.h, len(deal)), np.float32), np.zeros(len(self.x))
+        end = {}
+        for s in range(0, steps, 64):
+            upto = min(steps, s + 64)
+            xw = np.take(self.table, self.x[np.maximum(grid[s:upto, : live[s]], 0)], axis=1)
             states, places = [], []
-            for t in range(s, min(longest, s + 64)):
+            for t in range(s, upto):
                 g = grid[t, : live[t]]
-                h = h[: live[t]]
-                new = first[g]
-                if new.any():
-                    h = np.where(new[:, None], np.float32(0), h)
-                h = net.step(h, table[x[g]])[0]
+                h = h[:, : live[t]]
+                text = first[g]
+                new = np.flatnonzero(text >= 0)
+                if len(new):
+                    h = h.copy()
+                    h[:, new] = self.state[text[new]].T
+                h = net.step(h, xw[:, t - s, : live[t]])[0]
                 states.append(h)
                 places.append(g)
             p = np.concatenate(places)
-            lp = net.logs(np.concatenate(states))
-            out[p] = lp[np.arange(len(p)), y[p]]
-        out = out / math.log(10) - np.log10(self.z)[y]
-        return np.add.reduceat(out, begin)
+            hs, y = np.concatenate(states, axis=1), self.y[p]
+            got[p] = net.logs(hs)[y, np.arange(len(p))] + net.inside(net.p["v"], hs, y, self.row[p])
+        # what was read of each text, and the state at its last token read
+        read = np.zeros(len(size), np.int64)
+        for k, d in enumerate(deal):
+            left = min(steps, int(length[k]))
+            for i in d:
+                read[i] = min(left, int(size[i]))
+                left -= int(read[i])
+                if 0 < read[i] < size[i]:
+                    end[i] = k
+        upto = np.concatenate([[0.0], np.cumsum(got)])
+        sums = self.sums + (upto[begin + read] - upto[begin]) / math.log(10)
+        for i, k in end.items():
+            self.state[i] = h[:, k]
+        done = np.flatnonzero(read == size)
+        rest = np.flatnonzero(read < size)
+        keep = np.concatenate([np.arange(begin[i] + read[i], begin[i] + size[i]) for i in rest] + [np.zeros(0, np.int64)])
+        self.x, self.y, self.row = self.x[keep], self.y[keep], self.row[keep]
+        self.size, self.sums, self.state = (size - read)[rest], sums[rest], self.state[rest]
+        return done, sums[done]
 
 
 def _texts(batches, column: int):
@@ -439,26 +604,34 @@ def _score(shared):
     def run(batches):
         m = shared.value
         logc = np.log10(m.count + 1.0)
-        for batch in batches:
-            for off in range(0, batch.num_rows, 4096):
-                part = batch.slice(off, 4096)
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                for lo, hi in runs(texts, 6_000_000):
-                    pieces = [words(texts[lo + a : lo + b]) for a, b in runs(texts[lo:hi])]
-                    h, n = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
-                    at = m.find(h)
-                    stop = np.cumsum(n)
-                    known = at >= 0
-                    upto = np.concatenate([[0], np.cumsum(known)])
-                    sums = np.concatenate([[0.0], np.cumsum(np.where(known, logc[at], 0.0) if len(logc) else np.zeros(len(at)))])
-                    total = m.classes_score(at, n)
-                    rare_at = np.flatnonzero(~known)
-                    cut = np.searchsorted(rare_at, np.concatenate([[0], stop])).astype(np.int32)
-                    rare = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[rare_at].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(lo, hi - lo), part.column(1).slice(lo, hi - lo), pa.array(n + 1), pa.array(upto[stop] - upto[stop - n]), pa.array(sums[stop] - sums[stop - n]), pa.array(total), rare],
-                        names=["rid", "id", "n", "known", "logc", "lm", "rare"],
-                    )
+        reading, held, tokens = Lanes(m), [], 0
+
+        def through(last):
+            nonlocal held, tokens
+            tokens = 0
+            if not held:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks()
+            done, sums = reading.advance(last)
+            rest = np.setdiff1d(np.arange(rows.num_rows), done)
+            held = rows.take(pa.array(rest)).combine_chunks().to_batches() if len(rest) else []
+            yield from rows.take(pa.array(done)).append_column("lm", pa.array(sums)).combine_chunks().to_batches()
+
+        for part, h, n in _texts(batches, 2):
+            at = m.find(h)
+            stop = np.cumsum(n)
+            known = at >= 0
+            upto = np.concatenate([[0], np.cumsum(known)])
+            sums = np.concatenate([[0.0], np.cumsum(np.where(known, logc[at], 0.0) if len(logc) else np.zeros(len(at)))])
+            rare_at = np.flatnonzero(~known)
+            cut = np.searchsorted(rare_at, np.concatenate([[0], stop])).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[rare_at].view(np.int64)))
+            held.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n + 1), pa.array(upto[stop] - upto[stop - n]), pa.array(sums[stop] - sums[stop - n]), rare], names=["rid", "id", "n", "known", "logc", "rare"]))
+            reading.add(at, n)
+            tokens += len(h) + len(n)
+            if tokens >= SCORE_TOKENS:
+                yield from through(False)
+        yield from through(True)
 
     return run
 
@@ -488,7 +661,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text_col)
-    scored = scratch.save(rows.mapInArrow(_score(shared), f"rid long, id {kind}, n long, known long, logc double, lm double, rare array<bigint>"))
+    scored = scratch.save(rows.mapInArrow(_score(shared), f"rid long, id {kind}, n long, known long, logc double, rare array<bigint>, lm double"))
     rare = scored.select("rid", F.explode("rare").alias("w")).groupBy("w", "rid").agg(F.count("*").alias("k"))
     rare = rare.join(counts, "w").groupBy("rid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("add"))
     out = scored.drop("rare").join(rare, "rid", "left")
