@@ -66,6 +66,33 @@ def test_components(spark):
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    """Links of several tasks, with a hub whose links are joined apart, and a long path."""
+    from weftline.llm import common
+
+    monkeypatch.setattr(common, "TASK_LINKS", 40)
+    monkeypatch.setattr(common, "HUB", 30)
+    edges = [(5, k) for k in range(100, 200)] + [(k, k + 1) for k in range(300, 380)] + [(150, 380), (3, 177), (900, 901)] + [(5, 100)] * 20
+    got = components(Scratch(spark, "t"), spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()
+    assert {r.node: r.component for r in got} == {900: 900, 901: 900} | {k: 3 for k in [3, 5, *range(100, 200), *range(300, 381)]}
+    assert len(got) == 2 + 2 + 100 + 81
+
+
+def test_keys_meet_within_the_distance():
+    """Any two signatures within the distance in use share a key."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(8)
+    for d in [0, 1, minhash.DISTANCE - 1, minhash.DISTANCE] * 10:
+        a = rnd.integers(0, 1 << 16, minhash.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        b[rnd.permutation(minhash.SYMBOLS)[:d]] ^= 1
+        batch = pa.record_batch({"id": [1, 2], "sig": [a.tobytes(), b.tobytes()]})
+        got = next(minhash._keys([batch]))
+        keys = {i: {k for k, r in zip(got["key"].to_pylist(), got["rep"].to_pylist()) if r == i} for i in (1, 2)}
+        assert keys[1] & keys[2]
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -121,6 +148,25 @@ def test_token_counts(docs, rows, empty):
     assert tokens.count_tokens(empty).count() == 0
 
 
+def test_long_pieces():
+    """Pieces of many chunks, whose maps are composed, count as the library counts them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd, path = random.Random(4), public_tokenizers.path(tokens.VOCABULARY)
+    some = ["".join(rnd.choice([*SYLLABLES, "é", "ß", "日"]) for _ in range(rnd.randint(60, 3000))) for _ in range(40)]
+    some += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1500)) for _ in range(10)] + ["a" * 3000, "é" * 900, "!" * 1000, "ab" * 4000, "0" * 129, "x" * 128]
+    want = [len(e) for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+    own = tokens.Counter(path)
+    assert own.count(some).tolist() == want
+    chunk, rounds = tokens.CHUNK, tokens.SPECULATE
+    try:
+        tokens.CHUNK, tokens.SPECULATE = 7, 1  # many chunks, and each round only the pieces' own way
+        assert own.count(some).tolist() == want
+    finally:
+        tokens.CHUNK, tokens.SPECULATE = chunk, rounds
+
+
 def test_full_table_of_states():
     import public_tokenizers
 
@@ -202,6 +248,14 @@ def test_decontamination(spark, docs, rows, empty):
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == clean
     assert decontam.report(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontam.report(empty, bench).count() == 0
+    # an item without an id hits, but is not counted; a large benchmark meets the words by a shuffle
+    unnamed = decontam.report(docs, spark.createDataFrame([(None, "one two three")], "item_id long, text string")).where("doc_id in (204, 205)").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in unnamed] == [(3, 0, True)] * 2
+    most, decontam.BROADCAST_BYTES = decontam.BROADCAST_BYTES, 0
+    try:
+        assert sorted(map(str, decontam.report(docs, bench).collect())) == sorted(map(str, got))
+    finally:
+        decontam.BROADCAST_BYTES = most
 
 
 def test_mixing(docs, rows, empty):
@@ -233,10 +287,29 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_tilts_are_the_dual_optimum(spark):
+    """The tilt of each source meets its target, as a search by halves does; rates are tilted by size and never above the cap."""
+    rnd = random.Random(3)
+    sizes = [(s, size, n) for s in ("a", "b", "c", None) for size, n in {rnd.randint(1, 900): rnd.randint(1, 9) for _ in range(60)}.items()]
+    words = {s: sum(k * n for t, k, n in sizes if t == s) for s in ("a", "b", "c", None)}
+    target = {"a": 2.6 * words["a"], "b": 0.3 * words["b"], "c": 3.0 * words["c"], None: 1.0 * words[None]}
+    goals = spark.createDataFrame([(s, words[s], target[s]) for s in words], "source string, source_size long, target double")
+    got = {r.source: r.lam for r in mixing.tilts(Scratch(spark, "t"), spark.createDataFrame(sizes, "source string, size long, n long"), goals, 3.0).collect()}
+    mass = lambda s, lam: sum(k * n * min(3.0, math.exp(lam * math.sqrt(k))) for t, k, n in sizes if t == s)
+    assert got["c"] is None and abs(got[None]) < 1e-9
+    for s in ("a", "b"):
+        lo, hi = -5.0, 5.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if mass(s, mid) < target[s] else (lo, mid)
+        assert abs(got[s] - lo) < 1e-9 and abs(mass(s, got[s]) / target[s] - 1) < 1e-7
+
+
 def test_clashing_columns(spark, docs, rows):
     import pyspark.sql.functions as F
 
     names = ["b", "r", "s", "c", "i", "t", "x", "cut", "fill", "next", "target", "rate", "copies", "shard", "slot", "n_hit", "score", "id", "kept", "sig", "key"]
+    names += ["__s", "__g", "__p", "__at", "p", "place", "h", "md5", "class", "lam", "millionths", "row", "crc", "fs", "ps", "pc", "d", "v0"]
     wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
     assert mixing.mix(wide).count() == sharding.shard_by_bytes(wide).count() == len(rows)
     bench = spark.createDataFrame([(1, "one two three", 5)], "item_id long, text string, x int")
@@ -297,6 +370,59 @@ def test_toxicity(spark):
     assert f[2] > 0 and toxicity.score(data.where("false"), model).count() == 0
 
 
+def test_block_sizes_and_differences():
+    """The features of a text are those of its blocks, compressed one by one."""
+    import zstandard as z
+
+    texts, y = labelled()
+    model = quality.Model(quality._content([t for t, k in zip(texts, y) if k]), quality._content([t for t, k in zip(texts, y) if not k]))
+    sizes = []
+    raw = (texts[1] + "é" * 7).encode()
+    cuts = [*range(0, len(raw) - quality.BLOCK // 4 + 1, quality.BLOCK), len(raw)]
+    for a, b in zip(cuts, cuts[1:]):
+        own = []
+        for d in (model.good, model.bad):
+            c = z.ZstdCompressor(level=quality.LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            own.append(len(c.compress(raw[a:b])))
+        sizes.append(own)
+    d = [(b - g) / (b + g) for g, b in sizes]
+    g, b = sum(x[0] for x in sizes), sum(x[1] for x in sizes)
+    assert abs(model.sizes(raw.decode()) - np.array(sizes)).max() <= 1  # a dictionary prepared for compression may differ by a byte
+    want = [np.mean(d), min(d), max(d), np.std(d), (b - g) / (b + g)]
+    assert np.abs(model.features(raw.decode()) - want).max() < 0.03
+    assert model.sizes("").shape == (0, 2) and model.sizes("a").shape == (1, 2) and model.sizes("a" * 70).shape == (1, 2) and model.sizes("a" * 90).shape == (2, 2)
+
+
+def test_toxicity_features():
+    """Densities, nearness, capitals, signs and obfuscation of a text, counted by hand."""
+    model = toxicity.Model({"idiot": 3.0, "scum": 2.0}, {"moro": 1.5})
+    f = model.features("You IDIOT, morons! 1d1ot s-c-u-m here 42 fine")
+    k = 8
+    assert f[0] == pytest.approx(1 / k) and f[1] == pytest.approx(1 / k)  # as written; by their beginnings
+    assert f[2] == pytest.approx(2 / k) or f[2] == pytest.approx(3 / k)  # obfuscated, spelt out once more
+    assert f[9] >= 3 / k  # within four words of a second-person word
+    assert f[12] == pytest.approx(6 / 45) and f[13] == pytest.approx(1 / 45)
+    assert model.features("") == model.features("   ")[:12] + model.features("")[12:]
+
+
+def test_odd_rows_of_the_classifiers(spark):
+    texts, y = labelled()
+    rows = [(i, t, 7, "x") for i, t in enumerate(texts)] + [(None, texts[0], 7, "x"), (5, texts[5], 7, "x"), (901, texts[1] * 400, 7, "x"), (902, None, None, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, score int, y string")
+    labels = spark.createDataFrame([*enumerate(y), (3, None), (4, 2), (None, 1)], "doc_id long, quality int").withColumn("toxic", 1 - __import__("pyspark.sql.functions", fromlist=["col"]).col("quality"))
+    import pyspark.sql.functions as F
+
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        model = module.fit(*learn.sample(data, labels, label, F.lit(True)))
+        got = module.score(data, model).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, set()).add(r.score)
+        assert len(by[5]) == 1 and by[None] == by[0]
+    assert len(learn.sample(data.union(data), labels, "quality", F.lit(True))[0]) <= len(texts)
+
+
 def test_isotonic_and_trees():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(600, 3))
@@ -389,6 +515,69 @@ def test_gradient():
     assert losses[-1] < 0.1 < losses[0]
 
 
+def small_net(rng):
+    """Four classes, two of them with words that have vectors, in double precision."""
+    inside = lm.Inside(np.array([5.0, 9.0, 30.0, 12.0]), np.array([2, 2, 3, 2, 3]), np.array([4.0, 6.0, 2.0, 3.0, 5.0]))
+    net = lm.Net(7, 4, hidden=3, inside=inside, dtype=np.float64)
+    for k, p in net.p.items():
+        net.p[k] = rng.standard_normal(p.shape) * 0.5
+    return net, inside
+
+
+def test_slopes_are_numeric_slopes():
+    rng = np.random.default_rng(1)
+    net, inside = small_net(rng)
+    x, y, row = rng.integers(0, 7, (5, 4)), rng.integers(0, 4, (5, 4)), np.full((5, 4), -1)
+    for at in zip(*np.nonzero(y >= 2)):
+        row[at] = rng.integers(inside.cuts[y[at]], inside.cuts[y[at] + 1]) if rng.random() < 0.7 else -1
+    y[4, 1] = -1
+    fresh = rng.random((5, 4)) < 0.2
+    start = rng.standard_normal((3, 4))
+    _, n, slopes, _ = net.slopes(x, y, row, fresh, start)
+    for name, p in net.p.items():
+        for at in np.ndindex(p.shape):
+            old, loss = p[at], []
+            for step in (1e-6, -1e-6):
+                p[at] = old + step
+                loss.append(net.slopes(x, y, row, fresh, start)[0] / n)
+            p[at] = old
+            assert abs((loss[0] - loss[1]) / 2e-6 - slopes[name][at]) < 1e-7, (name, at)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    net, inside = small_net(rng)
+    hs, total = rng.standard_normal((3, 6)), np.zeros(6)
+    for c in range(4):
+        words = [np.exp(net.inside(net.p["v"], hs, np.full(6, c), np.full(6, r))) * np.exp(inside.log[r]) for r in range(inside.cuts[c], inside.cuts[c + 1])]
+        others = np.exp(net.inside(net.p["v"], hs, np.full(6, c), np.full(6, -1))) * (inside.rest[c])
+        total += np.exp(net.logs(hs))[c] * (sum(words) + others)
+    assert np.allclose(total, 1)
+
+
+def test_state_is_carried_through_whole_texts():
+    """Texts read in blocks, beside others that come later, score as each alone does."""
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.choice([3, 60, 900]))) for _ in range(600)] + [""]
+    h, n = lm.words(texts)
+    known, count = np.unique(h, return_counts=True)
+    model = lm.Model(known, count, len(h) + len(n), len(known) + 1, len(n))
+    model.fit(np.random.default_rng(0).standard_normal((len(known), lm.SIGNS)).astype(np.float32))
+    model.net.p["v"] = np.random.default_rng(1).standard_normal(model.net.p["v"].shape).astype(np.float32)
+    at, cuts = model.find(h), np.concatenate([[0], np.cumsum(n)])
+    assert (model.head[at] == h).all() and (model.find(np.array([7, 1 << 63], np.uint64)) == -1).all()
+    want = [float(model.classes_score(at[cuts[i] : cuts[i + 1]], n[i : i + 1])[0]) for i in range(len(n))]
+    reading, held, got = lm.Lanes(model), np.zeros(0, int), np.zeros(len(n))
+    for a in range(0, len(n), 150):
+        b = min(len(n), a + 150)
+        reading.add(at[cuts[a] : cuts[b]], n[a:b])
+        held = np.concatenate([held, np.arange(a, b)])
+        done, sums = reading.advance(b == len(n))
+        got[held[done]] = sums
+        held = np.delete(held, done)
+    assert not len(held) and np.allclose(got, want, rtol=1e-4)
+
+
 def brute_repeats(rows, length=100):
     first = {}
     docs = sorted({(i, (t or "").encode()) for i, t in rows})
@@ -471,3 +660,32 @@ def test_pipeline(spark, tmp_path, rows):
         if name == "sharding":
             assert len(after) == len(before) and {r["shard"] for r in after} == set(range(8))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_stages_on_odd_input(spark, tmp_path, empty):
+    """Nulls, empty texts, repeated rows, columns with the stages' own names, and an empty table."""
+    import pyspark.sql.functions as F
+
+    import corpus_pipeline
+
+    texts, y = labelled(120)
+    rows = [(i, t, "en", "s0", 0) for i, t in enumerate(texts)] + [(200, None, None, None, None), (201, "", "en", None, 0), (None, texts[1] + " more", "en", "s0", 0), (3, texts[3], "en", "s0", 0)]
+    spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.createDataFrame(rows, SCHEMA)
+    for k, name in enumerate(["score", "size", "copies", "id", "n", "__gone", "__i", "kept"]):
+        at = at.withColumn(name, F.lit(k))
+    wide = at.columns
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        before = at.select("doc_id", "text").collect()
+        f(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/o{k}")
+        at = spark.read.parquet(f"{tmp_path}/o{k}")
+        if k < 4:
+            assert at.columns == wide and at.where("score <> 0 or size <> 1 or copies <> 2 or kept <> 7").count() == 0
+        left = {(r.doc_id, r.text) for r in at.collect()}
+        if name in ("near-duplicates", "decontamination"):
+            assert {(200, None), (201, ""), (None, texts[1] + " more")} <= left or not {(200, None), (201, "")} <= {(r.doc_id, r.text) for r in before}
+        none = empty
+        for extra in ("score", "size"):
+            none = none.withColumn(extra, F.lit(1))
+        assert f(spark, none, str(tmp_path)).count() == 0
