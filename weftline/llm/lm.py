@@ -52,10 +52,10 @@ ROUNDS = 4
 #: at a time in training, and the longest piece of a text in one stream.
 TASK_TOKENS, GATHER_TOKENS, BLOCK, STRETCH = 1_600_000, 8_000_000, 400_000, 1024
 FLUSH = 1_500_000
-#: Tokens that a task takes up at a time in scoring.
-SCORE_TOKENS = 1_000_000
-#: Bits of a hash by which the head is entered.
-LEADING = 19
+#: Tokens that a task takes up at a time in scoring, and steps whose classes and words are looked up together.
+SCORE_TOKENS, AT_ONCE = 1_000_000, 128
+#: Bits of a hash by which the head is entered; the largest sum that has room beside two others in a float.
+LEADING, LIMB = 19, (1 << 17) - 1
 
 
 # ---- counts
@@ -188,6 +188,15 @@ class Net:
         a -= np.log(np.exp(a).sum(axis=0))
         return a
 
+    def log_of(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """ln P(class | state) of one class for each state."""
+        a = self.p["o"].T @ h
+        a += self.p["ob"][:, None]
+        top = a.max(axis=0)
+        own = a[y, np.arange(len(y))] - top
+        a -= top
+        return own - np.log(np.exp(a, out=a).sum(axis=0))
+
     def slopes(self, x: np.ndarray, y: np.ndarray, row: np.ndarray, fresh: np.ndarray, h: np.ndarray):
         """(loss, tokens, slopes of the mean loss, state) of a window of (time, lane) arrays that begins with state ``h``."""
         p, k = self.p, self.h
@@ -456,8 +465,8 @@ class Lanes:
         live = (grid >= 0).sum(1)
         h, got = np.zeros((net.h, len(deal)), np.float32), np.zeros(len(self.x))
         end = {}
-        for s in range(0, steps, 64):
-            upto = min(steps, s + 64)
+        for s in range(0, steps, AT_ONCE):
+            upto = min(steps, s + AT_ONCE)
             xw = np.take(self.table, self.x[np.maximum(grid[s:upto, : live[s]], 0)], axis=1)
             states, places = [], []
             for t in range(s, upto):
@@ -473,7 +482,7 @@ class Lanes:
                 places.append(g)
             p = np.concatenate(places)
             hs, y = np.concatenate(states, axis=1), self.y[p]
-            got[p] = net.logs(hs)[y, np.arange(len(p))] + net.inside(net.p["v"], hs, y, self.row[p])
+            got[p] = net.log_of(hs, y) + net.inside(net.p["v"], hs, y, self.row[p])
         # what was read of each text, and the state at its last token read
         read = np.zeros(len(size), np.int64)
         for k, d in enumerate(deal):
@@ -512,14 +521,23 @@ def _together(shared):
         m = shared.value
         sums = np.zeros((SIGNS, len(m.head)), np.int64)
 
+        def count(at, doc, keys):
+            own = np.bincount(at, minlength=len(m.head))
+            if len(at) and own.max() > LIMB:  # a word so frequent that its sums would run into each other
+                for s in range(0, len(at), LIMB):
+                    count(at[s : s + LIMB], doc[s : s + LIMB], keys)
+                return
+            for k in range(0, SIGNS, 3):  # three sums at a time, as limbs of one exact float
+                three = [((keys >> np.uint64(k + j)) & np.uint64(1)).astype(np.int64) << (17 * j) for j in range(min(3, SIGNS - k))]
+                got = np.bincount(at, weights=sum(three).astype(float)[doc], minlength=len(m.head)).astype(np.int64)
+                for j in range(len(three)):
+                    sums[k + j] += 2 * ((got >> (17 * j)) & LIMB) - own
+
         def add(held):
             at, n = np.concatenate([a for a, _, _ in held]), np.concatenate([b for _, b, _ in held])
             keys = mix(np.concatenate([c for _, _, c in held]))
             known = at >= 0
-            at, doc = at[known], np.repeat(np.arange(len(n)), n)[known]
-            for k in range(SIGNS):
-                sign = ((keys >> np.uint64(k)) & np.uint64(1)) * 2.0 - 1
-                sums[k] += np.bincount(at, weights=sign[doc], minlength=len(m.head)).astype(np.int64)
+            count(at[known], np.repeat(np.arange(len(n)), n)[known], keys)
 
         held, n = [], 0
         for part, h, own in _texts(batches, 1):
